@@ -1,0 +1,63 @@
+"""Queries of the operators for training text, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusspark.llm import repeated_lines, splitting, tokenizing
+from corpusspark.tables import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines.repeated_lines(table(spark, sf_dir, "staged_chunks"))
+    return found.select("chunk_id", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "staged_chunks")
+    return repeated_lines.without_repeated_lines(chunks).select("chunk_id", "text").distinct()
+
+
+def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many frequent sequences and occurrences there are of each length."""
+    found = repeated_lines.frequent_sequences(table(spark, sf_dir, "staged_chunks"))
+    by_one = found.groupBy("length", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("n_docs"))
+    return by_one.groupBy(F.col("length").cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("sequences"), F.sum("n").alias("occurrences"), F.max("n_docs").alias("most_docs"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that the stitched boundary tables cut in two or more pieces."""
+    items, _, tables = splitting.oversized_tables(table(spark, sf_dir, "staged_chunks"))
+    cut = splitting.stitched(tables).groupBy("item").agg(F.max(F.col("piece_0") + F.col("n")).alias("pieces"), F.max(F.col("offset") + F.col("size")).alias("length"))
+    return items.select("item", "chunk_id").join(cut.where("pieces > 1"), "item").select("chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, sf_dir, "staged_chunks"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizing.encoded(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p4_found, p4_pieces, p6_ids)}
+
+_LINES = r"""
+lines as (
+  select chunk_id, doc_id, subject, text, unnest(range(len(string_split(text, chr(10))))) as line_no from (select distinct chunk_id, doc_id, subject, text from staged_chunks where text is not null)),
+bare as (
+  select chunk_id, doc_id, subject, line_no, trim(regexp_replace(lower(string_split(text, chr(10))[line_no + 1]), '[^\p{L}]+', ' ', 'g')) as s from lines),
+keyed as (
+  select chunk_id, doc_id, subject, line_no, replace(s, ' ', '') as k from bare where length(s) - length(replace(s, ' ', '')) >= 2),
+often as (
+  select subject, k from keyed group by subject, k having count(distinct doc_id) >= 6)"""
+ORACLE = {
+    "p1_found": f"with {_LINES} select distinct chunk_id, line_no from keyed join often on keyed.k = often.k and keyed.subject is not distinct from often.subject",
+    "p1_clean": f"""with {_LINES}, gone as (select distinct chunk_id, line_no from keyed join often on keyed.k = often.k and keyed.subject is not distinct from often.subject)
+select chunk_id, string_agg(line, chr(10) order by line_no) as text from (
+  select chunk_id, line_no, string_split(text, chr(10))[line_no + 1] as line from lines anti join gone using (chunk_id, line_no)) group by chunk_id
+union all select distinct chunk_id, '' from lines l where not exists (select 1 from lines m anti join gone using (chunk_id, line_no) where m.chunk_id = l.chunk_id)
+union all select distinct chunk_id, null from staged_chunks where text is null""",
+    "p4_found": "select distinct chunk_id from staged_chunks where length(text) > 2000",
+}
