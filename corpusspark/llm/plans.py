@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusspark.llm import repeated_lines, splitting, tokenizing
+from corpusspark.llm import near_duplicates, repeated_lines, splitting, tokenizing
 from corpusspark.tables import table
 
 
@@ -26,6 +26,15 @@ def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_one.groupBy(F.col("length").cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("sequences"), F.sum("n").alias("occurrences"), F.max("n_docs").alias("most_docs"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "staged_chunks"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with a near-duplicate in another document, with their class."""
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "staged_chunks"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that the stitched boundary tables cut in two or more pieces."""
     items, _, tables = splitting.oversized_tables(table(spark, sf_dir, "staged_chunks"))
@@ -41,7 +50,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p4_found, p4_pieces, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_groups, p4_found, p4_pieces, p6_ids)}
 
 _LINES = r"""
 lines as (
@@ -59,5 +68,15 @@ select chunk_id, string_agg(line, chr(10) order by line_no) as text from (
   select chunk_id, line_no, string_split(text, chr(10))[line_no + 1] as line from lines anti join gone using (chunk_id, line_no)) group by chunk_id
 union all select distinct chunk_id, '' from lines l where not exists (select 1 from lines m anti join gone using (chunk_id, line_no) where m.chunk_id = l.chunk_id)
 union all select distinct chunk_id, null from staged_chunks where text is null""",
+    "p2_found": r"""
+with t as (
+  select chunk_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from (select distinct chunk_id, doc_id, text from staged_chunks where text is not null)),
+s as (
+  select chunk_id, doc_id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) as s from t where len(w) >= 20),
+o as (select chunk_id, doc_id, len(s) as n, unnest(s) as x from s)
+select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b
+from o a join o b on a.x = b.x and a.chunk_id < b.chunk_id and a.doc_id <> b.doc_id
+group by a.chunk_id, b.chunk_id, a.n, b.n
+having count(*) >= 0.6 * (a.n + b.n - count(*))""",
     "p4_found": "select distinct chunk_id from staged_chunks where length(text) > 2000",
 }
