@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusspark.llm import near_duplicates, repeated_lines, splitting, tokenizing
+from corpusspark.llm import leakage, near_duplicates, repeated_lines, splitting, tokenizing
 from corpusspark.tables import table
 
 
@@ -50,7 +50,15 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_groups, p4_found, p4_pieces, p6_ids)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.verbatim_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_groups, p4_found, p4_pieces, p6_ids, p7_found, p7_paraphrases)}
 
 _LINES = r"""
 lines as (
@@ -78,5 +86,11 @@ select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b
 from o a join o b on a.x = b.x and a.chunk_id < b.chunk_id and a.doc_id <> b.doc_id
 group by a.chunk_id, b.chunk_id, a.n, b.n
 having count(*) >= 0.6 * (a.n + b.n - count(*))""",
+    "p7_found": r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w from eval_items where passage is not null),
+dg as (select doc_id, unnest([array_to_string(w[k:k + 9], ' ') for k in range(1, len(w) - 8)]) as g from d),
+ig as (select distinct item_id, unnest([array_to_string(w[k:k + 9], ' ') for k in range(1, len(w) - 8)]) as g from i)
+select distinct doc_id, item_id from dg join ig using (g)""",
     "p4_found": "select distinct chunk_id from staged_chunks where length(text) > 2000",
 }
