@@ -63,7 +63,7 @@ class History:
             .withColumn("bucket", F.pmod(key, F.lit(buckets)).cast("int"))
             .withColumn("row_no", F.row_number().over(place) - 1)
         )  # one file and bucket holds file_rows rows or so, whatever share of them one subject has
-        rows.write.mode("overwrite").parquet(f"{h.path}/data")  # del_version is there only to make the vectors; readers of a version never see it
+        rows.write.mode("overwrite").parquet(f"{h.path}/data")  # del_version serves only to make the vectors; data() leaves it out
         data = spark.read.parquet(f"{h.path}/data")
         (
             data.where("del_version is not null")
@@ -110,7 +110,7 @@ class History:
         change_kind is `added`, `changed` or `removed`, as version_to is seen from version_from, which
         may also be the later one. A row that left and came back as it was has not changed.
         """
-        deleted = self.vectors().select(*FILE, "del_version", F.explode("deleted").alias("row_no"))
+        deleted = self.vectors().select(*FILE, "del_version", F.explode("deleted").alias("row_no")).hint("merge")  # grows with the data: never broadcast
         touched = self.manifest_changes(spans)
         safe = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
         rows = self.data().alias("d").join(deleted.alias("v"), safe("d", "v", [*FILE, "row_no"]), "left").select("d.*", "v.del_version")
