@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusspark.llm import leakage, near_duplicates, repeated_lines, splitting, tokenizing
+from corpusspark.llm import leakage, near_duplicates, repeated_lines, splitting, stuffing, tokenizing
 from corpusspark.tables import table
 
 
@@ -58,7 +58,18 @@ def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_groups, p4_found, p4_pieces, p6_ids, p7_found, p7_paraphrases)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages are extreme in what, by script, and how many of them are lists."""
+    far = stuffing.extreme(stuffing.curves(stuffing.page_features(table(spark, sf_dir, "documents"))))
+    n = lambda c: F.count_if(c)
+    return far.groupBy("script").agg(F.count(F.lit(1)).alias("pages"), n("far_slope").alias("by_slope"), n("far_residual").alias("by_residual"), n("far_divergence").alias("by_divergence"), n(F.col("list_share") >= stuffing.SHARE).alias("lists"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_groups, p4_found, p4_pieces, p6_ids, p7_found, p7_paraphrases, p8_found, p8_curves)}
 
 _LINES = r"""
 lines as (
