@@ -25,6 +25,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _STEPS = re.compile(r"\s*\S+|\s+")
 #: White space to the module re but not to PATTERN; texts that have any are matched as a whole.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Where an ASCII piece may come apart: before what follows its small letters.
+_HUMPS = re.compile(r"[^a-z]*[a-z]+|[^a-z]+")
 
 
 class _Memory(dict):
@@ -53,7 +55,11 @@ class BytePairs:
         self.width = max(ranks.values()).bit_length()
         self.find = regex.compile(pattern).findall
         self.pairs = self._pairs()
-        self._pieces = _Memory(lambda piece: tuple(self.merged(piece.encode("utf-8", "replace"))))
+        self._short = {b.decode() for b in ranks if len(b) in (2, 3) and b.isascii()}
+        self._fours = {b[k : k + 4].decode() for b in ranks for k in range(len(b) - 3) if b[k : k + 4].isascii()}
+        self._apart = _Memory(self._parts_here)
+        self._stretches = _Memory(lambda s: tuple(self.merged(s.encode("utf-8", "replace"))))
+        self._pieces = _Memory(self._piece)
         self._steps = _Memory(lambda step: tuple(chain.from_iterable(map(self._pieces.__getitem__, self.find(step)))))
 
     @staticmethod
@@ -66,6 +72,30 @@ class BytePairs:
         ranks, width = self.ranks, self.width
         return {(ranks[b[:k]] << width) | ranks[b[k:]]: i for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
 
+    def _parts_here(self, sides: tuple[str, str]) -> bool:
+        """Whether no symbol can span the place between two strings, of which three characters each are looked at.
+
+        A symbol of two or three characters that does is in the vocabulary; a longer one has four
+        characters around the place that some string of the vocabulary has.
+        """
+        left, right = sides
+        spans = lambda n: {left[len(left) - k :] + right[: n - k] for k in range(1, n) if k <= len(left) and n - k <= len(right)}
+        return not (spans(2) | spans(3)) & self._short and not spans(4) & self._fours
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece. Where no symbol can span a place, what is at either side of it merges by
+        itself and is remembered by itself; compound names fall into their few parts that way."""
+        if not piece.isascii():
+            return self._stretches[piece]
+        ids, held, apart = (), "", self._apart
+        for hump in _HUMPS.findall(piece):
+            if held and apart[held[-3:], hump[:3]]:
+                ids += self._stretches[held]
+                held = hump
+            else:
+                held += hump
+        return ids + self._stretches[held]
+
     def merged(self, b: bytes) -> list[int]:
         """Ids of one piece. The queue holds rank and place of each pair that may merge; the pair of
         least rank, the leftmost of equals, merges first. An entry whose symbols have changed since is
