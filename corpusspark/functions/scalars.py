@@ -19,11 +19,11 @@ def content_hash(c: Column) -> Column:
 
 
 def point_id(c: Column, namespace: str = POINT_NAMESPACE) -> Column:
-    """The name-based UUID, version 5, of a string in a name space."""
+    """The name-based UUID, version 5, of a string in a name space; null stays null."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(c, "UTF-8")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)))
     part = lambda a, n: F.substring(h, a, n)
-    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+    return F.when(c.isNotNull(), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12)))
 
 
 def chunk_id(doc_id: Column, index: Column) -> Column:
