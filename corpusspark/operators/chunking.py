@@ -66,7 +66,7 @@ def chunked(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """
     place = F.row_number().over(Window.partitionBy("subject", "doc_id").orderBy("first")) - 1
     found = packed(sections(docs).where(~F.col("is_heading")), max_tokens).withColumn("chunk_index", place)
-    return found.where(~is_blank(F.col("text"))).select("subject", "doc_id", "chunk_index", chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("section").alias("section_path"), "n_tokens", "text")
+    return found.where(~is_blank(F.col("text"))).select("subject", "doc_id", "chunk_index", chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.col("section").alias("section_path"), "n_tokens", F.regexp_replace("text", r"^(\s*\n)+|\s+$", "").alias("text"))
 
 
 def line_packs(docs: DataFrame, key: str, text: str, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -131,7 +131,7 @@ def encoded(rows: DataFrame, backend: str = "hashing", batch: int = 256, **optio
     rows must have a column text; null texts are encoded as empty ones.
     """
     key = (backend, tuple(sorted(options.items())))
-    at = rows.columns.index("text")
+    names, at = rows.columns, rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _loaded:
@@ -142,7 +142,7 @@ def encoded(rows: DataFrame, backend: str = "hashing", batch: int = 256, **optio
                 part = b.slice(i, batch)
                 dense, sparse = model.encode([t or "" for t in part.column(at).to_pylist()])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1, dtype=np.int32) * dense.shape[1]), pa.array(dense.astype(np.float32).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, flat, pa.array([list(s.items()) for s in sparse], pa.map_(pa.int64(), pa.float64()))], names=[*rows.columns, "dense", "sparse"])
+                yield pa.RecordBatch.from_arrays([*part.columns, flat, pa.array([list(s.items()) for s in sparse], pa.map_(pa.int64(), pa.float64()))], names=[*names, "dense", "sparse"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, dense array<float>, sparse map<bigint,double>")

@@ -132,7 +132,7 @@ def vector_topn(probes: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     found = None
     for b in range(0, max(1, len(rows)), BLOCK):
         part = rows[b : b + BLOCK]
-        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64).reshape(len(part), -1)))
+        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part] or np.zeros((0, 1)), np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
