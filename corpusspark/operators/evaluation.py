@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusspark.functions.scalars import cosine
+from corpusspark.operators.order import placed
 
 #: Bars of the gates on overlap, and seconds a reranked candidate costs.
 DENSE_BAR, SPARSE_BAR, RERANK_SECONDS = 0.70, 0.60, 0.27
@@ -27,8 +28,9 @@ def set_parity(pairs: DataFrame) -> DataFrame:
 
 def weight_parity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(n, mean_pearson): correlation of the weights of shared tokens by text, where two share and neither side is constant."""
-    both = a.alias("a").join(b.alias("b"), [key, "token"]).groupBy(key).agg(F.count(F.lit(1)).alias("shared"), F.corr("a.weight", "b.weight").alias("r"), F.stddev_pop("a.weight").alias("sa"), F.stddev_pop("b.weight").alias("sb"))
-    kept = both.where("shared >= 2 and sa > 1e-12 and sb > 1e-12")
+    both = a.alias("a").join(b.alias("b"), [key, "token"]).groupBy(key).agg(F.count(F.lit(1)).alias("shared"), F.covar_pop("a.weight", "b.weight").alias("c"), F.stddev_pop("a.weight").alias("sa"), F.stddev_pop("b.weight").alias("sb"))
+    varied = (F.col("shared") >= 2) & (F.col("sa") > 1e-12) & (F.col("sb") > 1e-12)
+    kept = both.select(F.when(varied, F.col("c") / F.greatest(F.col("sa") * F.col("sb"), F.lit(1e-300))).alias("r")).where("r is not null")
     return kept.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean_pearson"))
 
 
@@ -47,8 +49,8 @@ def self_matches(ranked: DataFrame, probe: str, item: str) -> DataFrame:
 
 def latency(samples: DataFrame, stage: str, ms: str) -> DataFrame:
     """(stage, n, min, median, mean, p95, max): the median is the middle or the mean of two, p95 the nearest rank."""
-    w = Window.partitionBy(stage).orderBy(ms)
-    ranked = samples.where(F.col(ms).isNotNull()).withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(stage)))
+    at = placed(samples.where(F.col(ms).isNotNull()).select(stage, ms), [stage], [ms], "i")
+    ranked = at.withColumn("i", F.col("i") + 1).withColumnRenamed("_n", "n")
     at = lambda i: F.max(F.when(F.col("i") == i, F.col(ms)))
     n = F.col("n")
     return ranked.groupBy(stage, "n").agg(

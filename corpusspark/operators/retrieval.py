@@ -220,10 +220,15 @@ def reranked(candidates: DataFrame, enabled: bool = True) -> DataFrame:
     return candidates.withColumn("score", score).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("k"))
 
 
-def retrieved(requests: DataFrame, chunks: DataFrame, prefetch: int = PREFETCH, one: int = TOP_N, many: int = MULTI_TOP_N) -> DataFrame:
-    """Fused, interleaved and capped candidates of resolved requests: ids and scores only, texts join later."""
+def retrieved(requests: DataFrame, chunks: DataFrame, prefetch: int = PREFETCH, one: int = TOP_N, many: int = MULTI_TOP_N, channels: list[DataFrame] | None = None) -> DataFrame:
+    """Fused, interleaved and capped candidates of resolved requests: ids and scores only, texts join later.
+
+    channels: ranked lists that reach to prefetch or deeper, if they are there already; a shallower
+    retrieval is a prefix of a deeper one.
+    """
     limit = max(one, many)
-    fused = rrf([dense_topn(requests, chunks, prefetch), sparse_topn(requests, chunks, prefetch)], limit)
+    found = [dense_topn(requests, chunks, prefetch), sparse_topn(requests, chunks, prefetch)] if channels is None else [c.where(F.col("rank") <= prefetch) for c in channels]
+    fused = rrf(found, limit)
     pools = fused.join(requests.select(*POOL, "pool_no", "n_pools", "query", "k"), POOL)
     return interleaved(pools.where(F.col("pool_rank") <= F.when(F.col("n_pools") > 1, many).otherwise(one)), one, many)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from corpusspark.operators.order import placed
 
 KEY = ["subject", "doc_id"]
 
@@ -78,8 +79,7 @@ def latest_staged(staged: DataFrame) -> DataFrame:
 
 def batches(staged: DataFrame, size: int) -> DataFrame:
     """staged with batch_no: rows of a subject in the order of doc_id and chunk_index, `size` to a batch."""
-    place = F.row_number().over(Window.partitionBy("subject").orderBy("doc_id", "chunk_index", "chunk_id"))
-    return staged.withColumn("batch_no", F.floor((place - 1) / size))
+    return placed(staged, ["subject"], ["doc_id", "chunk_index", "chunk_id"]).withColumn("batch_no", F.floor(F.col("place") / size)).drop("place", "_n")
 
 
 def chunk_counts(staged: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusspark.functions.scalars import quantized, rank_display
 from corpusspark.operators import evaluation, retrieval, sync
@@ -76,10 +77,10 @@ def fusion_fallback(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, False).select("query_id", "place", "score", "chunk_id")
 
 
-def _deep(spark: SparkSession, d: str) -> DataFrame:
+def _deep(spark: SparkSession, d: str, channels: list[DataFrame] | None = None) -> DataFrame:
     """One deep retrieval with the reranker's scores; other depths are its prefixes."""
     r, c = _requests(spark, d), _chunks(spark, d)
-    found = retrieval.retrieved(r, c, one=DEPTH, many=DEPTH).join(c.select("subject", "chunk_id", "text"), ["subject", "chunk_id"])
+    found = retrieval.retrieved(r, c, one=DEPTH, many=DEPTH, channels=channels).join(c.select("subject", "chunk_id", "text"), ["subject", "chunk_id"])
     return found.select("query_id", "chunk_id", "pos", retrieval.overlap_score(F.col("query"), F.col("text")).alias("score"))
 
 
@@ -98,28 +99,25 @@ def _gold(deep: DataFrame) -> DataFrame:
     return best.select("query_id", "chunk_id")
 
 
-def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _lists(dense: DataFrame, sparse: DataFrame) -> dict[str, DataFrame]:
     """Each channel's and each fusion's list of a request over all its pools, by score."""
-    from pyspark.sql.window import Window
-
-    dense, sparse = (written(x, "channel") for x in _channels(spark, d, DEPTH))
     one = {"dense": dense.withColumnRenamed("score", "s"), "sparse": sparse.withColumnRenamed("score", "s"), "rrf": retrieval.rrf([dense, sparse]).withColumnRenamed("rrf", "s"), "dbsf": retrieval.dbsf([dense, sparse]).withColumnRenamed("dbsf", "s")}
     w = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "chunk_id")
     return {k: v.select("query_id", "chunk_id", "s").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= DEPTH) for k, v in one.items()}
 
 
 def channel_diag(spark: SparkSession, d: str) -> DataFrame:
-    gold = written(_gold(_deep(spark, d)), "gold")
-    ranks = None
-    for name, ranked in _lists(spark, d).items():
+    channels = [written(x, "channel") for x in _channels(spark, d, DEPTH)]
+    gold, ranks = written(_gold(_deep(spark, d, channels)), "gold"), None
+    for name, ranked in _lists(*channels).items():
         one = evaluation.gold_ranks(gold, ranked, DEPTH).withColumn("channel", F.lit(name))
         ranks = one if ranks is None else ranks.unionByName(one)
     return evaluation.channel_diagnosis(ranks, DEPTH).withColumn("shown", rank_display(F.col("worst_hit"), DEPTH))
 
 
 def union_coverage(spark: SparkSession, d: str) -> DataFrame:
-    gold = written(_gold(_deep(spark, d)), "gold")
-    lists = _lists(spark, d)
+    channels = [written(x, "channel") for x in _channels(spark, d, DEPTH)]
+    gold, lists = written(_gold(_deep(spark, d, channels)), "gold"), _lists(*channels)
     pools, names = None, []
     for name, parts in [(f"rrf {n}", [("rrf", n)]) for n in (16, 30, 60)] + [(f"union {n}", [("dense", n), ("sparse", n)]) for n in (8, 16, 30)]:
         one = retrieval.union_pool([lists[c].where(F.col("rank") <= n).withColumn("subject", F.lit("")) for c, n in parts]).select(F.lit(name).alias("strategy"), "query_id", "chunk_id")
