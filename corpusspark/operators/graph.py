@@ -33,15 +33,18 @@ def edges(bundles: DataFrame) -> DataFrame:
 def closure(graph: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(src, dst) of everything src leads to, by any number of steps; src itself if it lies on a cycle.
 
-    graph: src, dst. Semi-naive: only pairs that the last round found first are extended, and each
-    round's are a written table. Ends when a round finds nothing new, so cycles do no harm.
+    graph: src, dst. Each round joins what the last one found first with all that is known, so known
+    paths double in length and rounds grow with the logarithm of the longest path. With starts, where
+    most pairs are not asked for, a round adds one step instead. A round's pairs are a written table;
+    a round that finds nothing new is the last, so cycles do no harm.
     """
     step = written(graph.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
     fresh = step if starts is None else step.join(starts.select("src").distinct(), "src", "left_semi")
     known = fresh = written(fresh, "closure")
+    then = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
     while not fresh.isEmpty():
-        grown = fresh.alias("f").join(step.alias("s"), F.col("f.dst") == F.col("s.src")).select("f.src", "s.dst").distinct()
-        fresh = written(grown.join(known, ["src", "dst"], "left_anti"), "closure")
+        grown = then(fresh, step) if starts is not None else then(fresh, known).union(then(known, fresh))
+        fresh = written(grown.distinct().join(known, ["src", "dst"], "left_anti"), "closure")
         known = known.union(fresh)
     return known
 
