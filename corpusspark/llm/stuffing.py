@@ -113,13 +113,14 @@ def page_features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _FEATURES)
 
 
-def curves(features: DataFrame) -> DataFrame:
+def curves(features: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, script, length, slope, residual, divergence, list_share) of each page.
 
     slope and residual: of the least-squares line of log frequency on log rank, every word with its
     rank, words of one frequency class at the class's mean rank. divergence: the share of the curve's
     head that peers do not have in common: peers are pages of the same script and the same octave of
-    length, and a word is common to them if a tenth of them have it in their heads.
+    length that are no lists themselves (list_share below share), and a word is common to them if a
+    tenth of them have it in their heads.
     """
     by_rank = Window.partitionBy("doc_id").orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     pages = features.withColumn("length", F.floor(F.log2("n_words")).cast("int"))
@@ -140,19 +141,21 @@ def curves(features: DataFrame) -> DataFrame:
         .withColumn("residual", F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("sy") ** 2 / F.col("n") - F.col("slope") * F.col("cxy")) / F.col("n")))
         .select("doc_id", "script", "length", "list_share", "slope", "residual")
     )
-    heads = pages.select("doc_id", "script", "length", F.explode(F.arrays_zip("head", "head_freqs")).alias("w")).select("doc_id", "script", "length", "w.head", "w.head_freqs")
-    peers = pages.groupBy("script", "length").agg(F.count(F.lit(1)).alias("peers"))
-    common = heads.groupBy("script", "length", "head").agg(F.count(F.lit(1)).alias("have")).join(peers, ["script", "length"]).where(F.col("have") >= COMMON * F.col("peers"))
+    heads = pages.select("doc_id", "script", "length", "list_share", F.explode(F.arrays_zip("head", "head_freqs")).alias("w")).select("doc_id", "script", "length", "list_share", "w.head", "w.head_freqs")
+    prose = F.col("list_share") < share
+    peers = pages.where(prose).groupBy("script", "length").agg(F.count(F.lit(1)).alias("peers"))
+    common = heads.where(prose).groupBy("script", "length", "head").agg(F.count(F.lit(1)).alias("have")).join(peers, ["script", "length"]).where(F.col("have") >= COMMON * F.col("peers"))
     apart = heads.join(common.select("script", "length", "head", F.lit(1).alias("shared")), ["script", "length", "head"], "left").groupBy("doc_id").agg((1 - F.sum(F.when(F.col("shared") == 1, F.col("head_freqs")).otherwise(0)) / F.sum("head_freqs")).alias("divergence"))
     return fitted.join(apart, "doc_id").select("doc_id", "script", "length", "slope", "residual", "divergence", "list_share")
 
 
-def extreme(pages: DataFrame, sd: dict[str, float] = EXTREME) -> DataFrame:
-    """The pages whose slope, residual or divergence is far from their peers', with the reasons."""
-    peers = pages.groupBy("script", "length").agg(F.count(F.lit(1)).alias("peers"), *[f(c).alias(f"{p}_{c}") for c in sd for p, f in (("m", F.avg), ("s", F.stddev_pop))])
+def extreme(pages: DataFrame, sd: dict[str, float] = EXTREME, share: float = SHARE) -> DataFrame:
+    """The pages whose slope, residual or divergence is far from their peers', with the reasons; lists are nobody's peers."""
+    peers = pages.where(F.col("list_share") < share).groupBy("script", "length").agg(F.count(F.lit(1)).alias("peers"), *[f(c).alias(f"{p}_{c}") for c in sd for p, f in (("m", F.avg), ("s", F.stddev_pop))])
     off = lambda c: F.col(c) - F.col(f"m_{c}")
     far = {c: (F.abs(off(c)) if c == "slope" else off(c)) >= x * F.col(f"s_{c}") for c, x in sd.items()}
-    found = pages.join(peers, ["script", "length"]).select(*pages.columns, *[((F.col("peers") < LEAST_PEERS) | c).alias(f"far_{name}") for name, c in far.items()])
+    few = F.coalesce("peers", F.lit(0)) < LEAST_PEERS
+    found = pages.join(peers, ["script", "length"], "left").select(*pages.columns, *[(few | c).alias(f"far_{name}") for name, c in far.items()])
     return found.where(" or ".join(f"far_{name}" for name in sd))
 
 
@@ -164,4 +167,4 @@ def stuffed_pages(docs: DataFrame, share: float = SHARE, sd: dict[str, float] =
     are gathered as sums by script and length, so no group of pages is ever in one place.
     """
     features = written(page_features(docs), "p8-pages").distinct()
-    return extreme(curves(features), sd).where(F.col("list_share") >= share)
+    return extreme(curves(features, share), sd, share).where(F.col("list_share") >= share)

@@ -207,6 +207,19 @@ def test_stuffed_pages_are_found(spark):
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [LINKS, TAGS, WORDS, OFFERS])
+def test_a_stuffed_page_copied_to_a_third_of_the_rows_is_found(spark, page):
+    r = random.Random(6)
+    n, vocabulary = len(words_of(page)), [f"noun{i}" for i in range(200)]
+    docs = []
+    for i in range(80):  # prose of the page's length
+        words = " ".join(f"the {r.choice(vocabulary)} of a {r.choice(vocabulary)} is read by the {r.choice(vocabulary)}." for _ in range(n)).split()
+        docs.append((i, " ".join(words[: n + r.randrange(-3, 4)])))
+    docs += [(1000 + i, page) for i in range(40)]
+    found = stuffing.stuffed_pages(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted({x.doc_id for x in found.collect()}) == [1000 + i for i in range(40)]
+
+
 def test_curves_equal_a_fit_by_hand(spark):
     text = "a a a a b b c c d e f g"
     got = stuffing.curves(stuffing.page_features(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))).first()
