@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +31,9 @@ EXTREME = {"slope": 2.0, "residual": 0.75, "divergence": 1.0}
 LEAST_PEERS = 30
 _LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S+", re.I)
 _TAG = re.compile(r"(?<!\S)[#＃][^\W_][\w-]*")
+_LABEL = re.compile(r"\s*[-*•]?\s*(?:tags|keywords|topics|labels|categories)\s*[:：]", re.I)
+_COUNTED = re.compile(r"\s*[^\W_][\w -]*\s\(\d+\)\s*")
+_ITEMS = re.compile("[,،、;|]")
 _BARE = re.compile(r"[\s\-*•·|\d.,;:]+")
 #: Fixed: script of the letters that stands for the language, as the column lang is often wrong.
 _SCRIPTS = [("cjk", re.compile("[぀-ヿ㐀-鿿]")), ("hangul", re.compile("[가-힣]")), ("arabic", re.compile("[؀-ۿ]")), ("cyrillic", re.compile("[Ѐ-ӿ]"))]
@@ -53,6 +56,8 @@ def is_list_line(line: str) -> bool:
     Links or tags make a list if they have four fifths of what is not space, digits or bullets. Repeated
     keywords are at least 20 words, of which at most a third differ and nearly all come three times or
     more; or at least eight phrases of up to five words between commas, of whose words at most half differ.
+    A line of tags is also one of at least eight entries with a count in brackets each (a tag cloud), or
+    of at least five entries of up to five words after a label such as `Tags:`.
     """
     size = len(_BARE.sub("", line))
     if not size:
@@ -62,6 +67,10 @@ def is_list_line(line: str) -> bool:
             return True
     if ("#" in line or "＃" in line) and sum(len(_BARE.sub("", m.group())) for m in _TAG.finditer(line)) >= 0.8 * size:
         return True
+    if _LABEL.match(line) and _entries(line, 5, lambda x: len(words_of(x)) <= 5):
+        return True
+    if "(" in line and _entries(line, 8, _COUNTED.fullmatch):
+        return True
     if len(line) < 60:
         return False
     words = words_of(line)
@@ -71,12 +80,17 @@ def is_list_line(line: str) -> bool:
     if len(often) <= 0.36 * len(words) and sum(n for n in often.values() if n >= 3) >= 0.85 * len(words):
         return True
     if len(often) <= 0.5 * len(words):
-        items = re.split("[,،、;|]", line)
-        if len(items) >= 8 and sum(len(words_of(x)) <= 5 for x in items) >= 0.9 * len(items):
+        if _entries(line, 8, lambda x: len(words_of(x)) <= 5):
             return True
     return False
 
 
+def _entries(line: str, least: int, fits: Callable[[str], object]) -> bool:
+    """Whether the line has at least so many entries between commas and the like, nine tenths of which fit."""
+    items = _ITEMS.split(line)
+    return len(items) >= least and sum(bool(fits(x)) for x in items) >= 0.9 * len(items)
+
+
 def list_share(text: str) -> float:
     """The share of the text's characters in lines that are lists; blank lines belong to the line before."""
     total, inside, last = 0, 0, False

@@ -207,6 +207,17 @@ def test_stuffed_pages_are_found(spark):
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
 
 
+CLOUD = " | ".join(f"{a} {b} ({i}{j})" for i, a in enumerate(("release", "read-only", "plant")) for j, b in enumerate(("note", "volume", "key", "jar")))
+LABELLED = "\n".join(f"Tags: {'; '.join(f'word{chr(97 + i)}{chr(97 + j)}-kit' for j in range(8))} / SKU PLANT-{i}" for i in range(9))
+
+
+def test_clouds_and_labelled_tags_are_lists():
+    for t in (CLOUD, CLOUD.upper(), LABELLED, LABELLED.upper(), "One sentence before the tags is read by the reader.\n" + LABELLED):
+        assert stuffing.list_share(t) >= 2 / 3, t[:40]
+    for t in ("Topics: drop directory, staging area, signoff team, import job, item revision\n\n" + PROSE, "The reader calls open (1), read (2), close (3), and the gateway (4) answers, in order (5), with a page, a key, and a note of every call it has seen.", "\n".join(f"{i}, a{i}, {i}.5, b{i}, 7, 8, 9, c{i}, 1" for i in range(9))):
+        assert stuffing.list_share(t) < 2 / 3, t[:40]
+
+
 @pytest.mark.parametrize("page", [LINKS, TAGS, WORDS, OFFERS])
 def test_a_stuffed_page_copied_to_a_third_of_the_rows_is_found(spark, page):
     r = random.Random(6)
