@@ -1,10 +1,11 @@
 """Evaluation texts in training texts: latent semantic retrieval of passages, then checks of the words.
 
-Passages of documents are windows of `span` consecutive words that all occur in evaluation passages;
-others share no term of the evaluation vocabulary's with enough consecutive words to matter, so
-their documents are read but give no windows. Windows are TF-IDF vectors over that vocabulary, with
-document frequencies of all documents, and are compared in the space of a randomised SVD of all
-windows. Equal windows have equal vectors, so no verbatim run of `span` words can be missed.
+Passages of documents are windows of `span` consecutive words. For verbatim leaks all words must occur
+in evaluation passages; for paraphrases so many as a paraphrase has in common with its passage, and
+the other words stand for one unknown term without weight. A window that cannot be either is read but
+not kept. Windows are TF-IDF vectors over the evaluation vocabulary, with document frequencies of all
+documents, and are compared in the space of a randomised SVD of the windows kept. Equal windows have
+equal vectors, so no verbatim run of `span` words can be missed.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ class Evaluation:
         return Evaluation(vocabulary, np.array(windows, np.int32).reshape(-1, span), np.array(items, np.int64))
 
 
-def _runs_and_frequencies(docs: DataFrame, vocabulary: dict[str, int], span: int) -> DataFrame:
-    """Kind 0: (doc_id, run) of span or more consecutive vocabulary words; kind 1: each task's document frequencies, with the number of documents last."""
+def _runs_and_frequencies(docs: DataFrame, vocabulary: dict[str, int], span: int, known: int) -> DataFrame:
+    """Kind 0: (doc_id, run) of the words of windows that have so many known words of span, unknown ones as the vocabulary's size; kind 1: each task's document frequencies, with the number of documents last."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("run", pa.list_(pa.int32())), ("slice", pa.int32()), ("part", pa.binary())])
 
@@ -73,20 +74,18 @@ def _runs_and_frequencies(docs: DataFrame, vocabulary: dict[str, int], span: int
                 lens = np.array([len(x) for x in ids])
                 seen[n] += int((lens > 0).sum())
                 # a stop after each text keeps runs apart
-                flat = np.concatenate([y for x in ids for y in (x, np.array([-1], np.int32))])
+                flat = np.concatenate([y for x in ids for y in (x, np.array([-2], np.int32))])
                 row = np.repeat(np.arange(len(ids)), lens + 1)
-                known = flat >= 0
-                terms = np.unique(row[known].astype(np.int64) * n + flat[known]) % max(n, 1)
+                own = flat >= 0
+                terms = np.unique(row[own].astype(np.int64) * n + flat[own]) % max(n, 1)
                 seen[:n] += np.bincount(terms, minlength=n)[:n]
-                edge = np.diff(np.concatenate([[0], known.astype(np.int8), [0]]))
+                at_span = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[span:] - c[:-span]
+                fits = np.flatnonzero((at_span(own) >= known) & (at_span(flat == -2) == 0)) if len(flat) >= span else np.zeros(0, np.int64)
+                inside = np.cumsum(np.bincount(fits, minlength=len(flat) + 1) - np.bincount(fits + span, minlength=len(flat) + 1))[:-1] > 0
+                edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
                 start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                long = end - start >= span
-                start, end = start[long], end[long]
                 if len(start):
-                    kept = np.zeros(len(flat) + 1, np.int32)
-                    kept[start], kept[end] = 1, kept[end] - 1
-                    inside = np.cumsum(kept)[:-1] > 0
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)), pa.array(flat[inside]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)), pa.array(np.where(own, flat, n).astype(np.int32)[inside]))
                     none = lambda t: pa.nulls(len(start), t)  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(start), np.int32)), keys.slice(at, 2000).take(pa.array(row[start])), lists, none(pa.int32()), none(pa.binary())], schema=schema)
         parts = sliced(seen)
@@ -109,6 +108,49 @@ def _windows(lists: pa.Array, span: int) -> tuple[np.ndarray, np.ndarray]:
     return row, flat[at[:, None] + np.arange(span)]
 
 
+def _answers(windows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The three rarest words of each window."""
+    rarest = np.argsort(-idf[windows], axis=1, kind="stable")[:, :3]
+    return np.take_along_axis(windows, rarest, axis=1)
+
+
+def _screened(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, span: int, known: int) -> DataFrame:
+    """(doc_id, run) of the single windows that have so many known words, and two rarest words of some item's window.
+
+    A paraphrase needs both, and a verbatim window has both, so none is lost; it only spares comparisons.
+    """
+    n = len(evaluation.vocabulary)
+    a = _answers(evaluation.windows, idf).astype(np.int64)
+    pairs = np.unique(np.concatenate([np.minimum(a[:, i], a[:, j]) * n + np.maximum(a[:, i], a[:, j]) for i in range(a.shape[1]) for j in range(i)]))
+    shared = runs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value
+        mask = np.zeros(1 << 22, bool)  # most pairs are told apart without a search
+        mask[pairs % len(mask)] = True
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                lists = batch.column(1).slice(at, 500)
+                flat, lens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(len(lens)), lens)
+                own, held = flat < n, np.zeros(len(flat) + 1, np.int64)
+                for d in range(span):  # a word and the d-th after it; d = 0 for a window in which a rare word comes twice
+                    x, y = flat[: len(flat) - d], flat[d:]
+                    code = np.minimum(x, y) * n + np.maximum(x, y)
+                    hit = np.flatnonzero(own[: len(flat) - d] & own[d:] & mask[code % len(mask)])
+                    hit = hit[pairs[np.minimum(np.searchsorted(pairs, code[hit]), len(pairs) - 1)] == code[hit]]
+                    held += np.bincount(np.maximum(0, hit + d - span + 1), minlength=len(held)) - np.bincount(hit + 1, minlength=len(held))
+                start = np.arange(len(flat) - span + 1)
+                total = np.concatenate([[0], np.cumsum(own)])
+                start = start[(row[start] == row[start + span - 1]) & (total[start + span] - total[start] >= known) & (np.cumsum(held)[start] > 0)]
+                if len(start):
+                    windows = flat[start[:, None] + np.arange(span)].astype(np.int32)
+                    offsets = pa.array(np.arange(len(start) + 1, dtype=np.int32) * span)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500).take(pa.array(row[start])), pa.ListArray.from_arrays(offsets, pa.array(windows.reshape(-1)))], names=["doc_id", "run"])
+
+    return written(runs.select("doc_id", "run").mapInArrow(run, "doc_id bigint, run array<int>"), "p7-windows")
+
+
 def _norms(windows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Lengths of the windows' TF-IDF vectors: a word that comes twice weighs twice in one dimension."""
     w = idf[windows]
@@ -191,8 +233,7 @@ def _search(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, basis: np.
     norms = _norms(evaluation.windows, idf)
     latent = _projected(evaluation.windows, idf, basis, norms)
     latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]).astype(np.float32)
-    rarest = np.argsort(-idf[evaluation.windows], axis=1, kind="stable")[:, :3]
-    answers = np.take_along_axis(evaluation.windows, rarest, axis=1)
+    answers = _answers(evaluation.windows, idf)
     shared = runs.sparkSession.sparkContext.broadcast((idf, basis, latent, evaluation.windows, evaluation.items, answers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +265,7 @@ def _search(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, basis: np.
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("r"), F.sum("windows").alias("windows")).select("doc_id", "item_id", "r.*", "windows")
 
 
-def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, rank: int = RANK, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, rank: int = RANK, at_once: int = ITEMS_AT_ONCE, known: int | None = None) -> DataFrame:
     """(doc_id, item_id, verbatim, common, answers, cosine, windows): documents with windows like an item's.
 
     docs: doc_id, text; items: item_id, passage. verbatim: at least span consecutive words of the
@@ -232,22 +273,27 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = C
     (of the window's three rarest words) of the best window tell how near it comes. Null, empty and
     short texts and passages have no windows; passages that share a stretch are all named; repeated
     documents give one row. Items beyond at_once are searched slice by slice, each over all documents.
+    known: windows need so many words that any passage has, all span by default; if it is less, only
+    windows with at least two rarest words of some passage's window are kept, as paraphrases have them.
     """
     ids = items.select("item_id").where("item_id is not null").distinct()
     slices = max(1, -(-ids.count() // at_once))
-    found = None
+    found, known = None, span if known is None else known
     for k in range(slices):
         part = items.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k))
         rows = sorted(((r[0], r[1] or "") for r in part.select(F.col("item_id").cast("bigint"), "passage").distinct().collect()))
         evaluation = Evaluation.of(rows, span)
         if not len(evaluation.windows):
             continue
-        kinds = written(_runs_and_frequencies(docs, evaluation.vocabulary, span), "p7-runs", ["kind"])
+        kinds = written(_runs_and_frequencies(docs, evaluation.vocabulary, span, known), "p7-runs", ["kind"])
         runs = kinds.where("kind = 0 and doc_id is not null").select("doc_id", "run")
         seen = summed(kinds.where("kind = 1"), np.int64)
         if not len(seen):  # no documents
             continue
         idf = np.log((1.0 + seen[-1]) / (1.0 + seen[:-1])) + 1.0
+        if known < span:
+            runs = _screened(runs, evaluation, idf, span, known)
+            idf = np.append(idf, 0.0)  # the unknown term
         one = _search(runs, evaluation, idf, latent_basis(runs, evaluation, idf, span, rank), span, cosine)
         found = one if found is None else found.unionByName(one)
     empty = "doc_id bigint, item_id bigint, verbatim boolean, common int, answers int, cosine double, windows bigint"
@@ -263,4 +309,4 @@ def verbatim_leaks(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataF
 def paraphrases(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, item_id, common, answers) of texts with most words of a window in order, its rare words among them, but none verbatim."""
     near = (F.col("common") >= LEAST_COMMON) & (F.col("answers") >= LEAST_ANSWERS) & ~F.col("verbatim")
-    return leaks(docs, items, span).where(near).select("doc_id", "item_id", "common", "answers")
+    return leaks(docs, items, span, known=LEAST_COMMON).where(near).select("doc_id", "item_id", "common", "answers")

@@ -157,6 +157,17 @@ def test_paraphrases_keep_order_and_rare_words(spark):
     assert {r.doc_id for r in found.collect()} >= {1}
 
 
+def test_paraphrases_with_words_of_their_own_are_found(spark):
+    passage = "the gateway flurbo rejects status zanti because brovel runs ahead of every quenched adapter route today"
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, passage string")
+    near = passage.replace("because", "since")  # since is in no passage
+    filler = [(10 + i, f"since the status of every route runs ahead of the adapter today because item {i}") for i in range(5)]
+    other = passage.replace("rejects", "refuses").replace("runs", "walks").replace("adapter", "plug")
+    docs = spark.createDataFrame([(1, passage), (2, near + " since"), (3, other), (4, "short since"), (5, None), *filler], "doc_id bigint, text string")
+    assert rows(leakage.paraphrases(docs, items), "doc_id", "item_id") == [(2, 1), (3, 1)]
+    assert leakage.paraphrases(docs.limit(0), items).count() == 0
+
+
 def test_svd_finds_the_space(spark):
     r = np.random.default_rng(0)
     ev = leakage.Evaluation.of([(i, " ".join(f"x{j}" for j in r.integers(0, 40, 30))) for i in range(6)], 10)
