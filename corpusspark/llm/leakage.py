@@ -229,7 +229,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _search(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, basis: np.ndarray, span: int, cosine: float) -> DataFrame:
-    """(doc_id, item_id, cosine, common, answers, verbatim) of the best candidate windows of each document and item."""
+    """(doc_id, item_id, verbatim, near, common, answers, cosine, windows) of the best candidate windows of each document and item; near ones come first after verbatim ones."""
     norms = _norms(evaluation.windows, idf)
     latent = _projected(evaluation.windows, idf, basis, norms)
     latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]).astype(np.float32)
@@ -255,22 +255,24 @@ def _search(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, basis: np.
                 common = _common(own_w[i], own[j])
                 held = (answers[j][:, :, None] == own_w[i][:, None, :]).any(axis=2).sum(axis=1)
                 doc, item = docs[at + i], items[j]
-                order = np.lexsort((score, held, common, verbatim, item, doc))
+                near = (common >= LEAST_COMMON) & (held >= LEAST_ANSWERS)  # of one and the same window
+                order = np.lexsort((score, held, common, near, verbatim, item, doc))
                 last = np.flatnonzero(np.append((doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1]), True))
                 best = order[last]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[best]), pa.array(item[best]), pa.array(score[best].astype(np.float64)), pa.array(common[best].astype(np.int32)), pa.array(held[best].astype(np.int32)), pa.array(verbatim[best]), pa.array(np.diff(last, prepend=-1))], names=["doc_id", "item_id", "cosine", "common", "answers", "verbatim", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[best]), pa.array(item[best]), pa.array(score[best].astype(np.float64)), pa.array(common[best].astype(np.int32)), pa.array(held[best].astype(np.int32)), pa.array(verbatim[best]), pa.array(near[best]), pa.array(np.diff(last, prepend=-1))], names=["doc_id", "item_id", "cosine", "common", "answers", "verbatim", "near", "windows"])
 
-    pairs = runs.select("doc_id", "run").mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, common int, answers int, verbatim boolean, windows bigint")
-    best = F.max(F.struct(F.col("verbatim"), F.col("common"), F.col("answers"), F.col("cosine")))
+    pairs = runs.select("doc_id", "run").mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, common int, answers int, verbatim boolean, near boolean, windows bigint")
+    best = F.max(F.struct(F.col("verbatim"), F.col("near"), F.col("common"), F.col("answers"), F.col("cosine")))
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("r"), F.sum("windows").alias("windows")).select("doc_id", "item_id", "r.*", "windows")
 
 
 def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, rank: int = RANK, at_once: int = ITEMS_AT_ONCE, known: int | None = None) -> DataFrame:
-    """(doc_id, item_id, verbatim, common, answers, cosine, windows): documents with windows like an item's.
+    """(doc_id, item_id, verbatim, near, common, answers, cosine, windows): documents with windows like an item's.
 
     docs: doc_id, text; items: item_id, passage. verbatim: at least span consecutive words of the
     passage stand consecutively in the text. Otherwise common (words in common, in order) and answers
-    (of the window's three rarest words) of the best window tell how near it comes. Null, empty and
+    (of the window's three rarest words) of the best window tell how near it comes; near: some window
+    has LEAST_COMMON and LEAST_ANSWERS of them at once, and the best is the best of such windows. Null, empty and
     short texts and passages have no windows; passages that share a stretch are all named; repeated
     documents give one row. Items beyond at_once are searched slice by slice, each over all documents.
     known: windows need so many words that any passage has, all span by default; if it is less, only
@@ -296,8 +298,8 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = C
             idf = np.append(idf, 0.0)  # the unknown term
         one = _search(runs, evaluation, idf, latent_basis(runs, evaluation, idf, span, rank), span, cosine)
         found = one if found is None else found.unionByName(one)
-    empty = "doc_id bigint, item_id bigint, verbatim boolean, common int, answers int, cosine double, windows bigint"
-    cols = ["doc_id", "item_id", "verbatim", "common", "answers", "cosine", "windows"]
+    empty = "doc_id bigint, item_id bigint, verbatim boolean, near boolean, common int, answers int, cosine double, windows bigint"
+    cols = ["doc_id", "item_id", "verbatim", "near", "common", "answers", "cosine", "windows"]
     return docs.sparkSession.createDataFrame([], empty) if found is None else found.select(*cols)
 
 
@@ -308,5 +310,4 @@ def verbatim_leaks(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataF
 
 def paraphrases(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, item_id, common, answers) of texts with most words of a window in order, its rare words among them, but none verbatim."""
-    near = (F.col("common") >= LEAST_COMMON) & (F.col("answers") >= LEAST_ANSWERS) & ~F.col("verbatim")
-    return leaks(docs, items, span, known=LEAST_COMMON).where(near).select("doc_id", "item_id", "common", "answers")
+    return leaks(docs, items, span, known=LEAST_COMMON).where("near and not verbatim").select("doc_id", "item_id", "common", "answers")

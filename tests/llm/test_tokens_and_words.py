@@ -168,6 +168,18 @@ def test_paraphrases_with_words_of_their_own_are_found(spark):
     assert leakage.paraphrases(docs.limit(0), items).count() == 0
 
 
+def test_a_nearer_window_with_fewer_rare_words_hides_no_paraphrase(spark):
+    # rare words of the passage's only window: r1 to r3, as the others are in many documents
+    # the second item keeps windows with r1 alone in the search
+    items = spark.createDataFrame([(1, "a b c d e f g r1 r2 r3"), (2, "a b c d e f g r1 r1 a")], "item_id bigint, passage string")
+    boilerplate, real = "a b c d e f g x r1 y", "a b c d u e v w r1 r2"
+    assert [leakage._common(np.array([t.split()]), np.array(["a b c d e f g r1 r2 r3".split()]))[0] for t in (boilerplate, real)] == [8, 7]
+    stop = " . ".join("zz" for _ in range(2100))  # apart, so that both orders and both aggregations are met
+    docs = [(1, boilerplate + f" {stop} " + real), (2, real + f" {stop} " + boilerplate), (3, boilerplate)] + [(10 + i, "a b c d e f g") for i in range(40)] + [(60 + i, "r1 r2 r3") for i in range(30)]
+    found = leakage.paraphrases(spark.createDataFrame(docs, "doc_id bigint, text string"), items).where("item_id = 1")
+    assert rows(found) == [(1, 1, 7, 2), (2, 1, 7, 2)]
+
+
 def test_svd_finds_the_space(spark):
     r = np.random.default_rng(0)
     ev = leakage.Evaluation.of([(i, " ".join(f"x{j}" for j in r.integers(0, 40, 30))) for i in range(6)], 10)
