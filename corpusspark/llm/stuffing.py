@@ -27,7 +27,7 @@ SHARE = 2 / 3
 #: Distances from the peers' mean, in standard deviations, that are extreme: of a slope either way, of
 #: a residual or divergence upwards.
 EXTREME = {"slope": 2.0, "residual": 0.75, "divergence": 1.0}
-#: A group of fewer peers says nothing; all its pages are candidates.
+#: A group of fewer peers is too thin; pages are then measured against a wider one.
 LEAST_PEERS = 30
 _LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S+", re.I)
 _TAG = re.compile(r"(?<!\S)[#＃][^\W_][\w-]*")
@@ -127,14 +127,31 @@ def page_features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _FEATURES)
 
 
+def peer_groups(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """(script, length, peer_script, peer_length): the groups of prose that each group of pages is measured against.
+
+    The narrowest that has LEAST_PEERS pages of prose together: the group itself, its script within one,
+    two and more octaves, all scripts within so many octaves; else all prose there is. Only sizes of
+    groups reach the driver, as many as there are scripts and octaves.
+    """
+    sizes = {(r[0], r[1]): r[2] for r in pages.groupBy("script", "length").agg(F.count_if(F.col("list_share") < share)).collect()}
+    rows = []
+    for script, length in sizes:
+        far = max(abs(b - length) for _, b in sizes)
+        within = lambda d, own: [(a, b) for a, b in sizes if abs(b - length) <= d and (a == script or not own)]  # noqa: E731, B023
+        steps = (g for own in (True, False) for d in range(far + 1) for g in [within(d, own)] if sum(sizes[x] for x in g) >= LEAST_PEERS)
+        rows += [(script, length, *x) for x in next(steps, list(sizes))]
+    return F.broadcast(pages.sparkSession.createDataFrame(rows, "script string, length int, peer_script string, peer_length int"))
+
+
 def curves(features: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, script, length, slope, residual, divergence, list_share) of each page.
 
     slope and residual: of the least-squares line of log frequency on log rank, every word with its
     rank, words of one frequency class at the class's mean rank. divergence: the share of the curve's
     head that peers do not have in common: peers are pages of the same script and the same octave of
-    length that are no lists themselves (list_share below share), and a word is common to them if a
-    tenth of them have it in their heads.
+    length, or of more where these are few (peer_groups()), that are no lists themselves (list_share
+    below share), and a word is common to them if a tenth of them have it in their heads.
     """
     by_rank = Window.partitionBy("doc_id").orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     pages = features.withColumn("length", F.floor(F.log2("n_words")).cast("int"))
@@ -157,19 +174,26 @@ def curves(features: DataFrame, share: float = SHARE) -> DataFrame:
     )
     heads = pages.select("doc_id", "script", "length", "list_share", F.explode(F.arrays_zip("head", "head_freqs")).alias("w")).select("doc_id", "script", "length", "list_share", "w.head", "w.head_freqs")
     prose = F.col("list_share") < share
-    peers = pages.where(prose).groupBy("script", "length").agg(F.count(F.lit(1)).alias("peers"))
-    common = heads.where(prose).groupBy("script", "length", "head").agg(F.count(F.lit(1)).alias("have")).join(peers, ["script", "length"]).where(F.col("have") >= COMMON * F.col("peers"))
+    groups = peer_groups(pages, share)
+    wide = lambda df: df.withColumnsRenamed({"script": "peer_script", "length": "peer_length"}).join(groups, ["peer_script", "peer_length"])
+    peers = wide(pages.where(prose).groupBy("script", "length").agg(F.count(F.lit(1)).alias("n"))).groupBy("script", "length").agg(F.sum("n").alias("peers"))
+    common = wide(heads.where(prose).groupBy("script", "length", "head").agg(F.count(F.lit(1)).alias("n"))).groupBy("script", "length", "head").agg(F.sum("n").alias("have")).join(peers, ["script", "length"]).where(F.col("have") >= COMMON * F.col("peers"))
     apart = heads.join(common.select("script", "length", "head", F.lit(1).alias("shared")), ["script", "length", "head"], "left").groupBy("doc_id").agg((1 - F.sum(F.when(F.col("shared") == 1, F.col("head_freqs")).otherwise(0)) / F.sum("head_freqs")).alias("divergence"))
     return fitted.join(apart, "doc_id").select("doc_id", "script", "length", "slope", "residual", "divergence", "list_share")
 
 
 def extreme(pages: DataFrame, sd: dict[str, float] = EXTREME, share: float = SHARE) -> DataFrame:
     """The pages whose slope, residual or divergence is far from their peers', with the reasons; lists are nobody's peers."""
-    peers = pages.where(F.col("list_share") < share).groupBy("script", "length").agg(F.count(F.lit(1)).alias("peers"), *[f(c).alias(f"{p}_{c}") for c in sd for p, f in (("m", F.avg), ("s", F.stddev_pop))])
+    sums = [F.sum(x).alias(f"{p}_{c}") for c in sd for p, x in (("t", F.col(c)), ("q", F.col(c) ** 2))]
+    own = pages.where(F.col("list_share") < share).groupBy(F.col("script").alias("peer_script"), F.col("length").alias("peer_length")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    total = own.join(peer_groups(pages, share), ["peer_script", "peer_length"]).groupBy("script", "length").agg(F.sum("n").alias("peers"), *[F.sum(f"{p}_{c}").alias(f"{p}_{c}") for c in sd for p in "tq"])
+    mean = lambda c: F.col(f"t_{c}") / F.col("peers")
+    spread = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{c}") / F.col("peers") - mean(c) ** 2))
+    peers = total.select("script", "length", "peers", *[f(c).alias(f"{p}_{c}") for c in sd for p, f in (("m", mean), ("s", spread))])
     off = lambda c: F.col(c) - F.col(f"m_{c}")
     far = {c: (F.abs(off(c)) if c == "slope" else off(c)) >= x * F.col(f"s_{c}") for c, x in sd.items()}
-    few = F.coalesce("peers", F.lit(0)) < LEAST_PEERS
-    found = pages.join(peers, ["script", "length"], "left").select(*pages.columns, *[(few | c).alias(f"far_{name}") for name, c in far.items()])
+    none = F.col("peers").isNull()  # without any prose there is no measure
+    found = pages.join(peers, ["script", "length"], "left").select(*pages.columns, *[(none | c).alias(f"far_{name}") for name, c in far.items()])
     return found.where(" or ".join(f"far_{name}" for name in sd))
 
 

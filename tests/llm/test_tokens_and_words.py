@@ -254,6 +254,16 @@ def test_a_stuffed_page_copied_to_a_third_of_the_rows_is_found(spark, page):
     assert sorted({x.doc_id for x in found.collect()}) == [1000 + i for i in range(40)]
 
 
+def test_pages_of_a_thin_group_are_measured_too(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(" ".join(f"The noun{r.randrange(200)} of a noun{r.randrange(200)} is read by the noun{r.randrange(200)}." for _ in range(n)).split()[:n])
+    docs = [(i, prose(127)) for i in range(60)] + [(100 + i, prose(129)) for i in range(6)] + [(200, TAGS)]
+    far = {x.doc_id for x in stuffing.extreme(stuffing.curves(stuffing.page_features(spark.createDataFrame(docs, "doc_id bigint, text string")))).collect()}
+    assert 200 in far and len(far & set(range(100, 106))) < 6
+    alone = spark.createDataFrame([(1, TAGS), (2, LINKS)], "doc_id bigint, text string")
+    assert sorted(x.doc_id for x in stuffing.stuffed_pages(alone).collect()) == [1, 2]
+
+
 def test_curves_equal_a_fit_by_hand(spark):
     text = "a a a a b b c c d e f g"
     got = stuffing.curves(stuffing.page_features(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))).first()
