@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusspark.llm import leakage, near_duplicates, repeated_lines, splitting, stuffing, tokenizing
-from corpusspark.tables import table, written
+from corpusspark.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +63,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many pages are extreme in what, by script, and how many of them are lists."""
-    far = stuffing.extreme(stuffing.curves(written(stuffing.page_features(table(spark, sf_dir, "documents")), "p8-pages")))
-    n = lambda c: F.count_if(c)
-    return far.groupBy("script").agg(F.count(F.lit(1)).alias("pages"), n("far_slope").alias("by_slope"), n("far_residual").alias("by_residual"), n("far_divergence").alias("by_divergence"), n(F.col("list_share") >= stuffing.SHARE).alias("lists"))
+    """How many pages are extreme in what, by language, and how many of them are lists."""
+    far = stuffing.measured_pages(table(spark, sf_dir, "documents"))
+    n = lambda c: F.count_if(c).alias(c)
+    every = far.groupBy("language").agg(F.count(F.lit(1)).alias("pages"), n("far_slope"), n("far_residual"), n("far_divergence"))
+    return every.join(stuffing.lists(far).groupBy("language").agg(F.count(F.lit(1)).alias("lists")), "language", "left").fillna(0, ["lists"])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_groups, p4_found, p4_pieces, p6_ids, p7_found, p7_paraphrases, p8_found, p8_curves)}

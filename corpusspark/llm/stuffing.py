@@ -2,207 +2,288 @@
 
 The words of a page, ordered by frequency, fall on a curve that is much alike for prose of one
 language and length. Repeated keywords bend it down, tag lists flatten it, link lists lift its head,
-and none of them has the language's common words there. Each page's curve is fitted with windows over its frequency classes; pages with extreme slope,
-residual or divergence from their peers are candidates, and of these the ones stay of which at least
-two thirds are lists.
+and none of them has the language's common words where prose has them. Each page's curve is fitted with
+windows over its frequency classes, and the curve's share in common with the language's prose is
+measured; pages with extreme slope, residual or divergence from prose peers are candidates. Of these the
+ones stay whose divergence shows that two thirds are no sentences. No kind of list is named anywhere; lines
+can only take a page out, if they are code, tables, configuration, contracts or encoded data.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusspark.llm.words import words_of
+from corpusspark.llm.columns import sliced, summed
 from corpusspark.tables import written
 
 #: Share of the characters that makes a page a list.
 SHARE = 2 / 3
+#: Of the prose peers' mean share of common words, what a list has at most: a third where the rest is sentences, and more by chance.
+LEFT = 0.5
 #: Distances from the peers' mean, in standard deviations, that are extreme: of a slope either way, of
-#: a residual or divergence upwards.
-EXTREME = {"slope": 2.0, "residual": 0.75, "divergence": 1.0}
-#: A group of fewer peers is too thin; pages are then measured against a wider one.
+#: a residual upwards, of a share of common words downwards. The last one's is that by chance in so many words,
+#: so that no page is called a list that is too short to be told from prose.
+EXTREME = {"slope": 2.0, "residual": 2.0, "divergence": 2.0}
+#: A group of fewer peers is too thin; pages are then measured against a wider one. Languages with fewer
+#: pages of prose count as one language together.
 LEAST_PEERS = 30
-_LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S+", re.I)
-_TAG = re.compile(r"(?<!\S)[#＃][^\W_][\w-]*")
-_LABEL = re.compile(r"\s*[-*•]?\s*(?:tags|keywords|topics|labels|categories)\s*[:：]", re.I)
-_COUNTED = re.compile(r"\s*[^\W_][\w -]*\s\(\d+\)\s*")
-_ITEMS = re.compile("[,،、;|]")
-_BARE = re.compile(r"[\s\-*•·|\d.,;:]+")
-#: Fixed: script of the letters that stands for the language, as the column lang is often wrong.
-_SCRIPTS = [("cjk", re.compile("[぀-ヿ㐀-鿿]")), ("hangul", re.compile("[가-힣]")), ("arabic", re.compile("[؀-ۿ]")), ("cyrillic", re.compile("[Ѐ-ӿ]"))]
-#: Words in the head of a page's curve, and the share of peers in whose heads a word must be to be common prose.
-HEAD, COMMON = 16, 0.1
-_FEATURES = "doc_id bigint, script string, n_words int, freqs array<int>, counts array<int>, head array<string>, head_freqs array<int>, list_share double"
-
-
-def script_of(text: str) -> str:
-    """The script that most lines of prose in text use, by its share of letters; latin unless another has a tenth."""
-    for name, pattern in _SCRIPTS:
-        if len(pattern.findall(text)) >= 0.1 * len(text):
-            return name
-    return "latin"
-
-
-def is_list_line(line: str) -> bool:
-    """Whether a line is a list of links or tags, or repeated keywords, and not sentences, code or a table.
-
-    Links or tags make a list if they have four fifths of what is not space, digits or bullets. Repeated
-    keywords are at least 20 words, of which at most a third differ and nearly all come three times or
-    more; or at least eight phrases of up to five words between commas, of whose words at most half differ.
-    A line of tags is also one of at least eight entries with a count in brackets each (a tag cloud), or
-    of at least five entries of up to five words after a label such as `Tags:`.
-    """
-    size = len(_BARE.sub("", line))
-    if not size:
-        return False
-    if "/" in line or "](" in line:
-        if sum(len(_BARE.sub("", m.group())) for m in _LINK.finditer(line)) >= 0.8 * size:
-            return True
-    if ("#" in line or "＃" in line) and sum(len(_BARE.sub("", m.group())) for m in _TAG.finditer(line)) >= 0.8 * size:
-        return True
-    if _LABEL.match(line) and _entries(line, 5, lambda x: len(words_of(x)) <= 5):
-        return True
-    if "(" in line and _entries(line, 8, _COUNTED.fullmatch):
-        return True
-    if len(line) < 60:
-        return False
-    words = words_of(line)
-    if len(words) < 20:
-        return False
-    often = Counter(words)
-    if len(often) <= 0.36 * len(words) and sum(n for n in often.values() if n >= 3) >= 0.85 * len(words):
-        return True
-    if len(often) <= 0.5 * len(words):
-        if _entries(line, 8, lambda x: len(words_of(x)) <= 5):
-            return True
-    return False
+#: Counters of a language's words by hash, and how many of the greatest are its common words. Words that
+#: fall together blur a counter by some 1e-5, where common words have 1e-3 and more.
+COUNTERS, COMMON = 1 << 14, 64
+#: Sentence ends per word from which a text can be prose: one in so many words.
+SENTENCE = 40
+#: Words; in scripts without spaces each character is one.
+_TERM = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_぀-ヿ㐀-鿿฀-๿]+")
+_END = re.compile(r"[^\W_](?:[^\W\d_]|\d\d|[)\"'])[.!?…؟]+[\"')\]]*(?=\s|$)|[。！？।]")
+#: Lines that are neither sentences nor lists: tables, code, settings, markup and contracts, encoded data.
+_TABLE = re.compile(r"\s*\|.*\|\s*$|\s*[|+:=-]{3,}[\s|+:=-]*$|(?:[^\t]+\t){2,}")
+_CODE = re.compile(r".*[;{}]\s*$|\s*(?:def|class|return|public|private|protected|static|package|if|for|while|else|try|catch|var|let|const)\b.*[({:;=]\s*$|\s*(?:import|from|package|using|namespace)\s+[\w.*]+\s*$|\s*[@}\])]|\s{2,}\S.*[(=]|\s*(?://|/\*|\*/)|\s*`[^`]+`\s*$|.*\b\w+\([^)]*\)\s*(?:[;{:]|=>)")
+_SETTING = re.compile(r"\s*(?:- )?[\w.-]+\s*(?:[:=]\s*(?![^\s]*//)(?:[^\s,;|#]+\s?){0,3}$)|\s*\[[\w. -]+\]\s*$|\s*</?(?![aA]\b)[A-Za-z][^>]*>|\s*[-*] \w[\w ]*: ?`")
+_BLOB = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+=]{40,}|[A-Za-z0-9+/=]{60,}|(?:[0-9a-fA-F]{2}[\s:]){16,}|(\S)\1{15,}")
+_FENCE = re.compile(r"\s*(?:```|~~~)")
+_FEATURES = "doc_id bigint, key bigint, lang string, n_words int, freqs array<int>, counts array<int>, spots array<int>, shares array<float>, prose boolean, other_share double"
+_PAGE = ["doc_id", "key", "language", "length", "n_words", "overlap", "prose", "other_share"]
 
 
-def _entries(line: str, least: int, fits: Callable[[str], object]) -> bool:
-    """Whether the line has at least so many entries between commas and the like, nine tenths of which fit."""
-    items = _ITEMS.split(line)
-    return len(items) >= least and sum(bool(fits(x)) for x in items) >= 0.9 * len(items)
+def is_other_line(line: str) -> bool:
+    """Whether a line is code, part of a table, configuration, a contract or encoded data: neither a sentence nor a list."""
+    if _TABLE.match(line) or _SETTING.match(line) or _CODE.match(line):
+        return True
+    found = sum(len(m.group()) for m in _BLOB.finditer(line)) if len(line) >= 16 else 0
+    return found >= 0.5 * len(line.strip()) > 0
 
 
-def list_share(text: str) -> float:
-    """The share of the text's characters in lines that are lists; blank lines belong to the line before."""
-    total, inside, last = 0, 0, False
+def other_share(text: str) -> float:
+    """The share of the text's characters in lines that are code, tables, configuration, contracts or encoded data, code fences included."""
+    total, inside, fenced, last = 0, 0, False, False
     for line in text.split("\n"):
-        if line.strip():
-            last = is_list_line(line)
+        if _FENCE.match(line):
+            fenced, last = not fenced, True
+        elif line.strip():
+            last = fenced or is_other_line(line)
         total += len(line) + 1
         inside += (len(line) + 1) * last
     return inside / total if total else 0.0
 
 
+class _Spots(dict):
+    def __missing__(self, term: str) -> int:
+        import xxhash
+
+        if len(self) > 300_000:
+            self.clear()
+        v = self[term] = xxhash.xxh64_intdigest(term) % COUNTERS
+        return v
+
+
+_spots = _Spots()
+
+
 def page_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, script, n_words, freqs, counts, head, head_freqs, list_share): the words of each page by frequency.
+    """(doc_id, key, lang, n_words, freqs, counts, spots, shares, prose, other_share): the words of each page by frequency.
 
-    counts[i] words come freqs[i] times each; frequencies descend. head has the HEAD most frequent
-    words, ties in the order of the alphabet, and head_freqs their frequencies. Texts that are null or have no word
-    are left out: they have no curve, and no characters of any list.
+    counts[i] words come freqs[i] times each; frequencies descend. spots are the counters of the page's
+    words, shares what part of all words falls on each. prose: it has sentence ends as prose has, and is
+    mostly no code or the like. lang: two letters of the column, where there is one, else nothing. key is
+    the same for equal texts. Texts that are null or have no word are left out: they have no curve.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("script", pa.string()), ("n_words", pa.int32()), ("freqs", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("head", pa.list_(pa.string())), ("head_freqs", pa.list_(pa.int32())), ("list_share", pa.float64())])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.bool_(), pa.float64()]
+    names = [f.split()[0] for f in _FEATURES.split(", ")]
+    code = F.regexp_extract(F.lower("lang"), r"^\s*([a-z]{2})(?![a-z])", 1) if "lang" in docs.columns else F.lit("")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text) if text else []
-                if words:
-                    often = Counter(words)
-                    classes = sorted(Counter(often.values()).items(), reverse=True)
-                    head = heapq.nsmallest(HEAD, often.items(), key=lambda x: (-x[1], x[0]))
-                    rows.append((doc, script_of(text), len(words), [f for f, _ in classes], [n for _, n in classes], [w for w, _ in head], [n for _, n in head], list_share(text)))
+            for doc, key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms = _TERM.findall(text.lower()) if text else []
+                if not terms:
+                    continue
+                often = Counter(terms)
+                classes = sorted(Counter(often.values()).items(), reverse=True)
+                spots: dict[int, int] = {}
+                for w, n in often.items():
+                    s = _spots[w]
+                    spots[s] = spots.get(s, 0) + n
+                other = other_share(text)
+                prose = other < 0.5 and len(_END.findall(text)) * SENTENCE >= len(terms)
+                rows.append((doc, key, lang or "", len(terms), [f for f, _ in classes], [n for _, n in classes], list(spots), [n / len(terms) for n in spots.values()], prose, other))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _FEATURES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), code.alias("lang"), "text").mapInArrow(run, _FEATURES)
 
 
-def peer_groups(pages: DataFrame, share: float = SHARE) -> DataFrame:
-    """(script, length, peer_script, peer_length): the groups of prose that each group of pages is measured against.
+def language_models(features: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, n, sums): how many different texts of prose each language has, and the sums of their words' shares by counter.
 
-    The narrowest that has LEAST_PEERS pages of prose together: the group itself, its script within one,
-    two and more octaves, all scripts within so many octaves; else all prose there is. Only sizes of
-    groups reach the driver, as many as there are scripts and octaves.
+    Every text counts once, however many copies there are, and as much as any other, however long.
+    Languages with fewer than LEAST_PEERS texts are one language, "". One array of fixed size for each
+    language reaches the driver; codes have two letters.
     """
-    sizes = {(r[0], r[1]): r[2] for r in pages.groupBy("script", "length").agg(F.count_if(F.col("list_share") < share)).collect()}
-    rows = []
-    for script, length in sizes:
-        far = max(abs(b - length) for _, b in sizes)
-        within = lambda d, own: [(a, b) for a, b in sizes if abs(b - length) <= d and (a == script or not own)]  # noqa: E731, B023
-        steps = (g for own in (True, False) for d in range(far + 1) for g in [within(d, own)] if sum(sizes[x] for x in g) >= LEAST_PEERS)
-        rows += [(script, length, *x) for x in next(steps, list(sizes))]
-    return F.broadcast(pages.sparkSession.createDataFrame(rows, "script string, length int, peer_script string, peer_length int"))
+    prose = features.where("prose").dropDuplicates(["key"])
+    sizes = {r[0]: r[1] for r in prose.groupBy("lang").count().collect()}
+    known = sorted({"", *(x for x, n in sizes.items() if n >= LEAST_PEERS)})
+    n = np.array([sizes.get(x, 0) if x else sum(k for y, k in sizes.items() if y not in known or not y) for x in known], np.float64)
+    at = {x: i for i, x in enumerate(known)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(known) * COUNTERS)
+        for batch in batches:
+            own = np.array([at.get(x, at[""]) for x in batch.column(0).to_pylist()])
+            lens = np.diff(batch.column(1).offsets.to_numpy())
+            place = np.repeat(own, lens) * COUNTERS + batch.column(1).flatten().to_numpy()
+            total += np.bincount(place, batch.column(2).flatten().to_numpy(), len(total))
+        parts = sliced(total)
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["slice", "part"])
+
+    found = summed(prose.select("lang", "spots", "shares").mapInArrow(run, "slice int, part binary"), np.float64)
+    return known, n, found.reshape(len(known), COUNTERS) if len(found) else np.zeros((len(known), COUNTERS))
+
+
+def measured(features: DataFrame) -> DataFrame:
+    """features with overlap, the share of its words that a page has in common with a language's prose, and that language.
+
+    Of a language its COMMON greatest counters count, each with the lesser of the page's share and
+    the language's. The language is the one with which the page has most in common, as the column lang is
+    often wrong. A text that is itself among the language's prose is taken out of it first.
+    """
+    known, n, sums = language_models(features)
+    tops = np.argsort(-sums, axis=1, kind="stable")[:, :COMMON]
+    common = np.zeros_like(sums)
+    np.put_along_axis(common, tops, np.take_along_axis(sums, tops, 1), 1)
+    shared = features.sparkSession.sparkContext.broadcast((known, n, common))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n, common = shared.value
+        at = {x: i for i, x in enumerate(known)}
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                spots, shares = batch.column("spots"), batch.column("shares").flatten().to_numpy()
+                lens = np.diff(spots.offsets.to_numpy())
+                flat, starts = spots.flatten().to_numpy(), np.cumsum(lens) - lens
+                own = np.array([at.get(x, at[""]) for x in batch.column("lang").to_pylist()])
+                inside = batch.column("prose").to_numpy(zero_copy_only=False)
+                best, which = np.zeros(batch.num_rows), own.copy()
+                for k in range(len(known)):
+                    out = np.repeat((own == k) & inside, lens)
+                    p = common[k][flat]
+                    p = np.where(p > 0, np.maximum(0, p - out * shares), 0) / np.maximum(1, n[k] - out)
+                    overlap = np.add.reduceat(np.minimum(p, shares), starts)
+                    which, best = np.where(overlap > best, k, which), np.maximum(best, overlap)
+                cols = {c: batch.column(c) for c in batch.schema.names if c not in ("spots", "shares", "lang")}
+                yield pa.RecordBatch.from_pydict(cols | {"overlap": pa.array(best), "language": pa.array([known[k] for k in which])})
+
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema if f.name not in ("spots", "shares", "lang")}
+    return features.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", overlap double, language string")
 
 
-def curves(features: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, script, length, slope, residual, divergence, list_share) of each page.
+def curves(features: DataFrame) -> DataFrame:
+    """(doc_id, key, language, length, n_words, overlap, prose, other_share, slope, residual) of each page.
 
     slope and residual: of the least-squares line of log frequency on log rank, every word with its
-    rank, words of one frequency class at the class's mean rank. divergence: the share of the curve's
-    head that peers do not have in common: peers are pages of the same script and the same octave of
-    length, or of more where these are few (peer_groups()), that are no lists themselves (list_share
-    below share), and a word is common to them if a tenth of them have it in their heads.
+    rank, words of one frequency class at the class's mean rank. length: the octave of the number of words.
+    overlap and language: see measured().
     """
-    by_rank = Window.partitionBy("doc_id").orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    pages = features.withColumn("length", F.floor(F.log2("n_words")).cast("int"))
+    by_rank = Window.partitionBy("doc_id", "key").orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    pages = measured(features).withColumn("length", F.floor(F.log2("n_words")).cast("int"))
     classes = (
-        pages.select("doc_id", "script", "length", "list_share", F.explode(F.arrays_zip("freqs", "counts")).alias("c"))
-        .select("doc_id", "script", "length", "list_share", F.col("c.freqs").cast("double").alias("freq"), F.col("c.counts").cast("double").alias("n"))
+        pages.select(*_PAGE, F.explode(F.arrays_zip("freqs", "counts")).alias("c"))
+        .select(*_PAGE, F.col("c.freqs").cast("double").alias("freq"), F.col("c.counts").cast("double").alias("n"))
         .withColumn("top", F.sum("n").over(by_rank))
         .withColumn("x", F.log(F.col("top") - (F.col("n") - 1) / 2))
         .withColumn("y", F.log("freq"))
     )
     n, x, y = F.col("n"), F.col("x"), F.col("y")
-    fitted = (
-        classes.groupBy("doc_id", "script", "length", "list_share")
+    return (
+        classes.groupBy("doc_id", "key", *[c for c in _PAGE if c not in ("doc_id", "key")])
         .agg(*[F.sum(c).alias(name) for name, c in (("n", n), ("sx", n * x), ("sy", n * y), ("sxx", n * x * x), ("sxy", n * x * y), ("syy", n * y * y))])
         .withColumn("vx", F.col("sxx") - F.col("sx") ** 2 / F.col("n"))
         .withColumn("cxy", F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"))
         .withColumn("slope", F.when(F.col("vx") > 1e-9, F.col("cxy") / F.col("vx")).otherwise(0.0))
         .withColumn("residual", F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("sy") ** 2 / F.col("n") - F.col("slope") * F.col("cxy")) / F.col("n")))
-        .select("doc_id", "script", "length", "list_share", "slope", "residual")
+        .select(*_PAGE, "slope", "residual")
     )
-    heads = pages.select("doc_id", "script", "length", "list_share", F.explode(F.arrays_zip("head", "head_freqs")).alias("w")).select("doc_id", "script", "length", "list_share", "w.head", "w.head_freqs")
-    prose = F.col("list_share") < share
-    groups = peer_groups(pages, share)
-    wide = lambda df: df.withColumnsRenamed({"script": "peer_script", "length": "peer_length"}).join(groups, ["peer_script", "peer_length"])
-    peers = wide(pages.where(prose).groupBy("script", "length").agg(F.count(F.lit(1)).alias("n"))).groupBy("script", "length").agg(F.sum("n").alias("peers"))
-    common = wide(heads.where(prose).groupBy("script", "length", "head").agg(F.count(F.lit(1)).alias("n"))).groupBy("script", "length", "head").agg(F.sum("n").alias("have")).join(peers, ["script", "length"]).where(F.col("have") >= COMMON * F.col("peers"))
-    apart = heads.join(common.select("script", "length", "head", F.lit(1).alias("shared")), ["script", "length", "head"], "left").groupBy("doc_id").agg((1 - F.sum(F.when(F.col("shared") == 1, F.col("head_freqs")).otherwise(0)) / F.sum("head_freqs")).alias("divergence"))
-    return fitted.join(apart, "doc_id").select("doc_id", "script", "length", "slope", "residual", "divergence", "list_share")
-
-
-def extreme(pages: DataFrame, sd: dict[str, float] = EXTREME, share: float = SHARE) -> DataFrame:
-    """The pages whose slope, residual or divergence is far from their peers', with the reasons; lists are nobody's peers."""
-    sums = [F.sum(x).alias(f"{p}_{c}") for c in sd for p, x in (("t", F.col(c)), ("q", F.col(c) ** 2))]
-    own = pages.where(F.col("list_share") < share).groupBy(F.col("script").alias("peer_script"), F.col("length").alias("peer_length")).agg(F.count(F.lit(1)).alias("n"), *sums)
-    total = own.join(peer_groups(pages, share), ["peer_script", "peer_length"]).groupBy("script", "length").agg(F.sum("n").alias("peers"), *[F.sum(f"{p}_{c}").alias(f"{p}_{c}") for c in sd for p in "tq"])
-    mean = lambda c: F.col(f"t_{c}") / F.col("peers")
-    spread = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{c}") / F.col("peers") - mean(c) ** 2))
-    peers = total.select("script", "length", "peers", *[f(c).alias(f"{p}_{c}") for c in sd for p, f in (("m", mean), ("s", spread))])
+
+
+def peer_groups(sizes: dict[tuple[str, int], int], wanted: list[tuple[str, int]]) -> list[tuple]:
+    """(language, length, peer_language, peer_length): the groups of prose that each group of pages is measured against.
+
+    sizes: different texts of prose by language and octave of length. The narrowest that has LEAST_PEERS
+    together: the group itself, its language within one, two and more octaves, all languages within so many
+    octaves; else all prose there is.
+    """
+    rows = []
+    for language, length in wanted:
+        far = max((abs(b - length) for _, b in sizes), default=0)
+        within = lambda d, own: [(a, b) for a, b in sizes if abs(b - length) <= d and (a == language or not own)]  # noqa: E731, B023
+        steps = (g for own in (True, False) for d in range(far + 1) for g in [within(d, own)] if sum(sizes[x] for x in g) >= LEAST_PEERS)
+        rows += [(language, length, *x) for x in next(steps, list(sizes))]
+    return rows
+
+
+def extreme(pages: DataFrame, sd: dict[str, float] = EXTREME) -> DataFrame:
+    """The pages whose slope, residual or divergence is far from their prose peers', with the reasons.
+
+    Adds peer_overlap, the peers' mean overlap, divergence (1 less the page's share of it), and
+    far_slope, far_residual, far_divergence. Peers are the different texts of prose of the same language
+    and octave of length, or of more where these are few (peer_groups()). Peers are gathered as sums by
+    group; only those, as many as there are languages and octaves, reach the driver. Without any prose there is no
+    measure and every page is far.
+    """
+    cols = {"slope": F.col("slope"), "residual": F.col("residual"), "overlap": F.col("overlap")}
+    prose = pages.where("prose").select("key", "language", "length", *cols).dropDuplicates(["key"])
+    sums = [F.sum(x).alias(f"{p}_{c}") for c, v in cols.items() for p, x in (("t", v), ("q", v**2))]
+    own = {(r["language"], r["length"]): r for r in prose.groupBy("language", "length").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+    wanted = [(r[0], r[1]) for r in pages.select("language", "length").distinct().collect()]
+    table = []
+    groups: dict[tuple, list] = {}
+    for language, length, a, b in peer_groups({k: r["n"] for k, r in own.items()}, wanted):
+        groups.setdefault((language, length), []).append(own[a, b])
+    for (language, length), rows in groups.items():
+        n = sum(r["n"] for r in rows)
+        stats = []
+        for c in cols:
+            mean = sum(r[f"t_{c}"] for r in rows) / n
+            stats += [mean, max(0.0, sum(r[f"q_{c}"] for r in rows) / n - mean**2) ** 0.5]
+        table.append((language, length, *stats))
+    peers = pages.sparkSession.createDataFrame(table, "language string, length int, " + ", ".join(f"m_{c} double, s_{c} double" for c in cols))
+    found = pages.join(F.broadcast(peers), ["language", "length"], "left")
     off = lambda c: F.col(c) - F.col(f"m_{c}")
-    far = {c: (F.abs(off(c)) if c == "slope" else off(c)) >= x * F.col(f"s_{c}") for c, x in sd.items()}
-    none = F.col("peers").isNull()  # without any prose there is no measure
-    found = pages.join(peers, ["script", "length"], "left").select(*pages.columns, *[(none | c).alias(f"far_{name}") for name, c in far.items()])
-    return found.where(" or ".join(f"far_{name}" for name in sd))
+    chance = F.sqrt(F.col("m_overlap") * (1 - F.col("m_overlap")) / F.col("n_words"))
+    far = {"slope": F.abs(off("slope")) >= sd["slope"] * F.col("s_slope"), "residual": off("residual") >= sd["residual"] * F.col("s_residual"), "divergence": -off("overlap") >= sd["divergence"] * chance}
+    none = F.col("m_overlap").isNull()
+    divergence = F.when(F.col("m_overlap") > 0, 1 - F.col("overlap") / F.col("m_overlap")).otherwise(1.0)
+    found = found.select(*pages.columns, F.col("m_overlap").alias("peer_overlap"), divergence.alias("divergence"), *[(none | c).alias(f"far_{name}") for name, c in far.items()])
+    return found.where("far_slope or far_residual or far_divergence")
 
 
-def stuffed_pages(docs: DataFrame, share: float = SHARE, sd: dict[str, float] = EXTREME) -> DataFrame:
-    """(doc_id, script, length, slope, residual, divergence, list_share, far_...): pages that are lists instead of sentences.
+def stuffed_pages(docs: DataFrame, share: float = SHARE, left: float = LEFT, sd: dict[str, float] = EXTREME) -> DataFrame:
+    """(doc_id, language, length, n_words, slope, residual, divergence, other_share, far_...): pages that are lists instead of sentences.
 
-    docs: doc_id, text; whole texts are read, other columns are not. Null, empty and blank texts are
-    never such pages. Repeated rows with one doc_id count as one page if their texts are equal. Peers
-    are gathered as sums by script and length, so no group of pages is ever in one place.
+    docs: doc_id, text, and lang if there is one; whole texts are read, other columns are not. Null, empty
+    and blank texts are never such pages. Repeated rows with one doc_id count as one page if their texts
+    are equal. Pages too short to be told from prose of their length are none; neither is a page of
+    which more than 1 - share is code, tables, configuration, contracts or encoded data. Without any prose to
+    measure against, every page that is not code or the like is a list.
     """
-    features = written(page_features(docs), "p8-pages").distinct()
-    return extreme(curves(features, share), sd, share).where(F.col("list_share") >= share)
+    return lists(measured_pages(docs, sd), share, left).drop("key", "overlap", "peer_overlap", "prose").distinct()
+
+
+def measured_pages(docs: DataFrame, sd: dict[str, float] = EXTREME) -> DataFrame:
+    """The extreme pages of docs; see extreme() and stuffed_pages()."""
+    features = written(page_features(docs), "p8-pages")
+    return extreme(curves(features.dropDuplicates(["doc_id", "key"])), sd)
+
+
+def lists(pages: DataFrame, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """The extreme pages that are lists."""
+    return pages.where(F.col("far_divergence") & (F.col("divergence") >= 1 - left) & (F.col("other_share") <= 1 - share))

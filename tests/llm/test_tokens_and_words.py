@@ -213,55 +213,67 @@ CODE = "\n".join(f'    Tracker x{i} = Registry{i}.rotate("a.b", {i});' for i in
 CONFIG = "\n".join(f"  queue{i}: {i} minutes\n  route{i}: true" for i in range(20))
 
 
-def test_lists_are_told_from_what_looks_like_them():
-    for t in (LINKS, LINKS.upper(), TAGS, WORDS, OFFERS, "\n".join(f'<a href="https://x.example/{i}">shop</a>' for i in range(9)), "\n".join(f"shop.example/a/{i}.html" for i in range(9))):
-        assert stuffing.list_share(t) >= 2 / 3, t[:40]
-    for t in (PROSE, TABLE, CODE, CONFIG, "", " \n ", "x", PROSE + "\n\n" + LINKS[:300], "Tags: a, b, c\n\n" + PROSE, "A" * 3000):
-        assert stuffing.list_share(t) < 2 / 3, t[:40]
+CLOUD = " | ".join(f"{a} {b} ({i}{j})" for i, a in enumerate(("release", "read-only", "plant")) for j, b in enumerate(("note", "volume", "key", "jar", "cache", "unit", "task", "lock")))
+LABELLED = "\n".join(f"Tags: {'; '.join(f'word{chr(97 + i)}{chr(97 + j)}-kit' for j in range(8))} / SKU PLANT-{i}" for i in range(9))
+# two kinds of list that no rule names
+ARROWS = " >> ".join(f"crib{chr(97 + i % 26)} sale{chr(97 + i % 7)}" for i in range(60))
+COLUMN = "\n".join(f"{a} {b}" for a in ("cheap", "best", "free", "top", "new") for b in ("flights", "hotels", "loans", "phones", "casino", "poker", "pills", "shoes"))
+LISTS = {"links": LINKS, "tags": TAGS, "words": WORDS, "offers": OFFERS, "cloud": CLOUD, "labelled": LABELLED, "arrows": ARROWS, "column": COLUMN}
 
 
-def test_stuffed_pages_are_found(spark):
-    r = random.Random(2)
-    vocabulary = [f"noun{i}" for i in range(200)]
-    prose = lambda: " ".join(f"The {r.choice(vocabulary)} of a {r.choice(vocabulary)} is read by the {r.choice(vocabulary)}." for _ in range(r.randrange(8, 30)))
-    docs = [(i, prose()) for i in range(300)] + [(1000 + i, t) for i, t in enumerate((LINKS, TAGS, WORDS, OFFERS))] + [(1, docs_text) for docs_text in ()] + [(2000, None), (2001, ""), (2002, " ")]
-    df = spark.createDataFrame([(*x, 1.0) for x in docs + docs[-6:]], "doc_id bigint, text string, slope double")
-    assert sorted({r.doc_id for r in stuffing.stuffed_pages(df).collect()}) == [1000, 1001, 1002, 1003]
-    assert stuffing.stuffed_pages(df.limit(0)).count() == 0
+def _prose(r, n):
+    """Sentences with n words, as a language has them: common words between rare ones."""
+    noun = lambda: f"noun{r.randrange(300)}"
+    make = [lambda: f"The {noun()} of a {noun()} is read by the {noun()}.", lambda: f"If the {noun()} does not exist, {noun()} writes it to the {noun()} and returns.", lambda: f"Set {noun()} to {r.randrange(90)} for each {noun()} that is in the {noun()}."]
+    words = []
+    while len(words) < n:
+        words += r.choice(make)().split()
+    return " ".join(words[: max(1, n - 1)]) + " end."
 
 
-CLOUD = " | ".join(f"{a} {b} ({i}{j})" for i, a in enumerate(("release", "read-only", "plant")) for j, b in enumerate(("note", "volume", "key", "jar")))
-LABELLED = "\n".join(f"Tags: {'; '.join(f'word{chr(97 + i)}{chr(97 + j)}-kit' for j in range(8))} / SKU PLANT-{i}" for i in range(9))
+def _world(r, n=300):
+    return [(i, _prose(r, r.choice([20, 40, 80, 160, 320]))) for i in range(n)]
+
 
+def _found(spark, docs):
+    return sorted({r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame([(*x, 1.0, "en") for x in docs], "doc_id bigint, text string, slope double, lang string")).collect()})
+
+
+def test_stuffed_pages_of_any_kind_are_found(spark):
+    r = random.Random(2)
+    pages = [(1000 + i, t) for i, t in enumerate(list(LISTS.values()) + [t.upper() for t in LISTS.values()])]
+    mixed = [(1100 + i, _prose(r, len(words_of(t)) // 4) + "\n" + t) for i, t in enumerate(LISTS.values())]  # a fifth is prose
+    clean = [(2000 + i, t) for i, t in enumerate((None, "", " ", "x", "short text", TABLE, CODE, CONFIG, "A" * 3000, "QmFzZTY0" * 60, _prose(r, 200) + "\n\n" + LINKS[:300], "Tags: a, b, c\n\n" + _prose(r, 100), "```\n" + COLUMN + "\n```"))]
+    docs = _world(r) + pages + mixed + clean
+    assert _found(spark, docs + docs[-30:]) == sorted(d for d, _ in pages + mixed)
+    assert _found(spark, []) == []
 
-def test_clouds_and_labelled_tags_are_lists():
-    for t in (CLOUD, CLOUD.upper(), LABELLED, LABELLED.upper(), "One sentence before the tags is read by the reader.\n" + LABELLED):
-        assert stuffing.list_share(t) >= 2 / 3, t[:40]
-    for t in ("Topics: drop directory, staging area, signoff team, import job, item revision\n\n" + PROSE, "The reader calls open (1), read (2), close (3), and the gateway (4) answers, in order (5), with a page, a key, and a note of every call it has seen.", "\n".join(f"{i}, a{i}, {i}.5, b{i}, 7, 8, 9, c{i}, 1" for i in range(9))):
-        assert stuffing.list_share(t) < 2 / 3, t[:40]
 
+def test_lines_that_are_neither_sentences_nor_lists():
+    for t in (TABLE, CODE, CONFIG, "A" * 3000, "QmFzZTY0" * 60, "<element name='Ask' type='t:AskType'/>", "- soapAction: `find`", "a = b(c);", "{", "```\nfree text here\n```"):
+        assert stuffing.other_share(t) > 1 / 3, t[:40]
+    for t in [*LISTS.values(), *[t.upper() for t in LISTS.values()], PROSE, "", "import job (346) | mapping (283)", "- [namespace](https://a.example/b)"]:
+        assert stuffing.other_share(t) <= 1 / 3, t[:40]
 
-@pytest.mark.parametrize("page", [LINKS, TAGS, WORDS, OFFERS])
+
+@pytest.mark.parametrize("page", ["links", "tags", "words", "offers", "arrows"])
 def test_a_stuffed_page_copied_to_a_third_of_the_rows_is_found(spark, page):
     r = random.Random(6)
-    n, vocabulary = len(words_of(page)), [f"noun{i}" for i in range(200)]
-    docs = []
-    for i in range(80):  # prose of the page's length
-        words = " ".join(f"the {r.choice(vocabulary)} of a {r.choice(vocabulary)} is read by the {r.choice(vocabulary)}." for _ in range(n)).split()
-        docs.append((i, " ".join(words[: n + r.randrange(-3, 4)])))
-    docs += [(1000 + i, page) for i in range(40)]
-    found = stuffing.stuffed_pages(spark.createDataFrame(docs, "doc_id bigint, text string"))
-    assert sorted({x.doc_id for x in found.collect()}) == [1000 + i for i in range(40)]
-
-
-def test_pages_of_a_thin_group_are_measured_too(spark):
-    r = random.Random(8)
-    prose = lambda n: " ".join(" ".join(f"The noun{r.randrange(200)} of a noun{r.randrange(200)} is read by the noun{r.randrange(200)}." for _ in range(n)).split()[:n])
-    docs = [(i, prose(127)) for i in range(60)] + [(100 + i, prose(129)) for i in range(6)] + [(200, TAGS)]
-    far = {x.doc_id for x in stuffing.extreme(stuffing.curves(stuffing.page_features(spark.createDataFrame(docs, "doc_id bigint, text string")))).collect()}
-    assert 200 in far and len(far & set(range(100, 106))) < 6
-    alone = spark.createDataFrame([(1, TAGS), (2, LINKS)], "doc_id bigint, text string")
-    assert sorted(x.doc_id for x in stuffing.stuffed_pages(alone).collect()) == [1, 2]
+    docs = [(i, _prose(r, len(words_of(LISTS[page])) + r.randrange(-3, 4))) for i in range(80)] + [(1000 + i, LISTS[page]) for i in range(40)]
+    assert _found(spark, docs) == [1000 + i for i in range(40)]
+
+
+def test_other_languages_have_their_own_prose(spark):
+    r = random.Random(4)
+    other = [(500 + i, " ".join(f"Die Klasse wort{r.randrange(300)} schreibt den wort{r.randrange(300)} in das wort{r.randrange(300)} und wartet auf die Antwort." for _ in range(r.randrange(3, 20)))) for i in range(60)]
+    chinese = [(600 + i, "".join(f"如果{r.choice('索引页面变更通知')}为{r.randrange(900)}，系统将{r.choice('跳过写入读取')}目录。" for _ in range(r.randrange(6, 20)))) for i in range(60)]
+    docs = [(d, t, "en") for d, t in _world(r)] + [(d, t, r.choice(["de", "DE-at", "en"])) for d, t in other] + [(d, t, r.choice(["zh", "zh", None])) for d, t in chinese] + [(900, COLUMN, "de"), (901, TAGS, None)]
+    found = stuffing.stuffed_pages(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert sorted(x.doc_id for x in found.collect()) == [900, 901]
+
+
+def test_without_prose_there_is_no_measure(spark):
+    assert _found(spark, [(1, TAGS), (2, LINKS), (3, CODE)]) == [1, 2]
 
 
 def test_curves_equal_a_fit_by_hand(spark):
