@@ -42,9 +42,14 @@ def latest(docs: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_sizes(docs: DataFrame) -> dict[int, int]:
+    """Rows of each snapshot as delivered, repeated ones included. One number for each delivery, so it is short."""
+    return {r[0]: r[1] for r in docs.where("snap_no is not null").groupBy("snap_no").count().collect()}
+
+
 def snapshot_numbers(docs: DataFrame) -> list[int]:
-    """The snapshots in the order of delivery. One number for each delivery, so the list is short."""
-    return sorted(r[0] for r in docs.select("snap_no").where("snap_no is not null").distinct().collect())
+    """The snapshots in the order of delivery."""
+    return sorted(snapshot_sizes(docs))
 
 
 def position(numbers: list[int], c: Column) -> Column:
@@ -109,9 +114,10 @@ def snapshot_changes(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     The rows of both snapshots are compared only in hash ranges whose Merkle digests differ.
     leaf_rows: rows of a snapshot in one range; more ranges follow more rows.
     """
-    numbers = snapshot_numbers(docs)
+    sizes = snapshot_sizes(docs)
+    numbers = sorted(sizes)
     last = len(numbers) - 1
-    bits = min(24, max(1, math.ceil(math.log2(max(2, docs.count() / max(1, len(numbers)) / leaf_rows)))))
+    bits = max(1, math.ceil(math.log2(max(2, max(sizes.values(), default=0) / leaf_rows))))  # grows with the rows, so leaves stay small
     key = F.xxhash64(*_exact(F.col("subject"), F.col("doc_id")))
     rows = latest(docs).select(
         position(numbers, F.col("snap_no")).alias("pos"), F.shiftrightunsigned(key, 64 - bits).alias("bucket"), "subject", "doc_id", "hash",

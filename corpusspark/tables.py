@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -79,20 +80,29 @@ def written(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
 
 
 def put_file(spark: SparkSession, path: str, body: str) -> bool:
-    """Writes a small file by rename, so that readers see all of it or nothing; False if it exists."""
+    """Writes a small file whole, if there is none of that name; False if there is. Of several writers one succeeds.
+
+    The file is written under another name first, so that readers see all of it or nothing. It gets its
+    name by a link on a local file system, and by a rename elsewhere; both fail if the name is taken
+    (HDFS checks that in the same step; a store that does not must be told to, by its own settings).
+    """
     fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     fs.mkdirs(p.getParent())
     if fs.exists(p):
         return False
     out = fs.create(tmp, True)
     out.write(bytearray(body.encode()))
     out.close()
-    done = fs.rename(tmp, p)
-    if not done:
+    try:
+        if fs.getScheme() != "file":
+            return bool(fs.rename(tmp, p))
+        os.link(tmp.toUri().getPath(), p.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
         fs.delete(tmp, False)
-    return bool(done)
 
 
 def get_file(spark: SparkSession, path: str) -> str | None:

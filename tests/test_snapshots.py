@@ -6,7 +6,8 @@ import random
 import pytest
 
 from corpusspark.operators.snapshots import snapshot_changes
-from corpusspark.operators.versions import History, IncrementalRun, run_changes
+from corpusspark.operators.versions import Conflict, History, IncrementalRun, run_changes
+from corpusspark.tables import put_file
 from tests.conftest import rows
 
 DOCS = "snap_no int, subject string, doc_id string, content_hash string, loaded_at timestamp, digest_a string, bucket string"
@@ -127,25 +128,82 @@ def test_there_and_back_is_no_change(spark):
     assert rows(run_changes(_docs(spark, data), _runs(spark, runs))) == [(3, "s", "a", "changed")]
 
 
+def _snapshots(n_files=1):
+    snaps = ((1, {"a": "1", "b": "1"}), (2, {"a": "2", "c": "1"}), (3, {"a": "2", "c": "1", "d": "1"}))
+    return [(n, "s", d, h, T0) for n, snap in snaps for d, h in snap.items()]
+
+
 def test_incremental_run_survives_a_failure(spark, tmp_path):
-    data = [(n, "s", d, h, T0) for n, snap in ((1, {"a": "1", "b": "1"}), (2, {"a": "2", "c": "1"}), (3, {"a": "2", "c": "1", "d": "1"})) for d, h in snap.items()]
-    h = History.load(_docs(spark, data), f"file://{tmp_path}/history")
+    h = History.load(_docs(spark, _snapshots()), f"file://{tmp_path}/history")
     run = IncrementalRun(h, f"file://{tmp_path}/out")
-    assert run.run(to=0) == 1
+    assert run.run(to=0)
 
     def broken(df):
-        df.write.mode("overwrite").parquet(f"file://{tmp_path}/out/batches/0000000001")  # written, never committed
+        df.write.parquet(f"file://{tmp_path}/out/batches/half")  # written, never committed
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
         run.run(broken, to=1)
-    assert run.processed() == 0 and run.output().count() == 2
-    assert run.run(to=1) == 1 and run.run() == 1 and run.run() == 0
+    assert rows(run.positions()) == [("s", 0)] and run.output().count() == 2
+    assert run.run(to=1) and run.run() and not run.run()
     assert rows(run.output(), "doc_id", "change_kind") == [("a", "added"), ("a", "changed"), ("b", "added"), ("b", "removed"), ("c", "added"), ("d", "added")]
 
 
-def test_only_touched_files_are_named(spark):
-    data = [(n, "s", str(i), "x" if n == 1 or i else "y", T0) for n in (1, 2) for i in range(200)]
+def test_of_two_runners_one_commits(spark, tmp_path):
+    h = History.load(_docs(spark, _snapshots()), f"file://{tmp_path}/history")
+    run, other = (IncrementalRun(h, f"file://{tmp_path}/out") for _ in range(2))
+
+    def late(df):  # the other runner commits while this one works
+        other.run(to=0)
+        return df
+
+    with pytest.raises(Conflict):
+        run.run(late, to=0)
+    assert len(run.commits()) == 1 and rows(run.output(), "doc_id") == [("a",), ("b",)]
+    assert len(list((tmp_path / "out" / "batches").iterdir())) == 1
+
+
+def test_of_many_writers_of_one_name_one_succeeds(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda i: put_file(spark, f"file://{tmp_path}/x/name", str(i)), range(24)))
+    assert done.count(True) == 1 and (tmp_path / "x" / "name").read_text() == str(done.index(True))
+    assert [p.name for p in (tmp_path / "x").iterdir() if not p.name.endswith(".crc")] == ["name"]
+
+
+def test_appended_versions_equal_loaded_ones(spark, tmp_path):
+    data = _random(7, 200)
+    numbers = [1, 2, 4, 5]
+    whole = History.load(_docs(spark, data), file_rows=7)
+    h = History.load(_docs(spark, [r for r in data if r[0] in numbers[:2]]), f"file://{tmp_path}/h", file_rows=7)
+    for n in numbers[2:]:
+        before = [m["added"] for m in h.manifests()]
+        h.append(_docs(spark, [r for r in data if r[0] == n]).drop("snap_no"), n)
+        assert [m["added"] for m in h.manifests()][:-1] == before
+    assert h.numbers() == whole.numbers() == numbers
+    for v in range(4):
+        assert rows(h.live(v), "subject", "doc_id", "hash") == rows(whole.live(v), "subject", "doc_id", "hash")
+    spans = spark.createDataFrame([(i, s, a, b) for i, (s, a, b) in enumerate((s, a, b) for s in ("s", "hot", None) for a, b in ((0, 3), (1, 2), (3, 1), (-1, 2)))], "span bigint, subject string, version_from int, version_to int")
+    assert rows(h.changes(spans)) == rows(whole.changes(spans))
+
+
+def test_a_writer_of_a_taken_version_leaves_nothing(spark, tmp_path):
+    h = History.load(_docs(spark, _snapshots()), f"file://{tmp_path}/h")
+    put_file(spark, f"file://{tmp_path}/h/versions/0000000003.json", '{"version": 3, "snap_no": 4, "buckets": 1, "added": [], "marked": []}')
+    stale = History(spark, h.path)
+    stale.manifests = lambda: History.manifests(stale)[:3]  # read before the other writer
+    with pytest.raises(Conflict):
+        stale.append(_docs(spark, [(9, "s", "z", "1", T0)]).drop("snap_no"), 9)
+    assert h.numbers() == [1, 2, 3, 4] and not list((tmp_path / "h" / "appended").iterdir())
+
+
+def test_only_touched_files_are_read(spark):
+    data = [(n, "s", str(i), "x" if n < 3 or i else "y", T0) for n in (1, 2, 3, 4) for i in range(200)]
     h = History.load(_docs(spark, data), file_rows=10)
-    spans = spark.createDataFrame([(1, "s", 0, 1)], "span bigint, subject string, version_from int, version_to int")
-    assert h.files().count() > 10 and h.manifest_changes(spans).count() == 2
+    spans = lambda a, b: spark.createDataFrame([(1, "s", a, b)], "span bigint, subject string, version_from int, version_to int")
+    assert h.files().count() > 10 and len(h.touched(1, 2)) == 2 and h.touched(2, 3) == set()
+    found = h.changes(spans(1, 2))
+    read = {p.split("/data/")[1].rsplit("/", 1)[0] for p in found.inputFiles() if "/data/" in p}
+    assert read == {f"add_version={a}/bucket={b}" for a, b in h.touched(1, 2)} and rows(found) == [(1, "s", "0", "changed")]
+    assert h.changes(spans(2, 3)).inputFiles() == []
