@@ -37,8 +37,8 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that the stitched boundary tables cut in two or more pieces."""
-    items, _, tables = splitting.oversized_tables(table(spark, sf_dir, "staged_chunks"))
-    cut = splitting.stitched(tables).groupBy("item").agg(F.max(F.col("piece_0") + F.col("n")).alias("pieces"), F.max(F.col("offset") + F.col("size")).alias("length"))
+    items, tables = splitting.oversized_tables(table(spark, sf_dir, "staged_chunks"))
+    cut = splitting.stitched(tables).groupBy("item").agg(F.max(F.col("piece_0") + F.col("n")).alias("pieces"))
     return items.select("item", "chunk_id").join(cut.where("pieces > 1"), "item").select("chunk_id").distinct()
 
 

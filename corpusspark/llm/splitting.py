@@ -1,28 +1,34 @@
-"""Splitting oversized items at natural boundaries, by ranges with halos.
-
-An item is read as ranges. A worker sees one range with a halo at either side and finds all the
-boundaries in it. At the start of every range but the first there is a cut at the first of the
-strongest boundaries there; the worker of the range before sees the same characters in its halo and
-so finds the same cut. Between two such cuts pieces are cut one after the other. Boundary tables of
-the ranges are then stitched: prefix sums over their lengths give the pieces' offsets and numbers.
+"""Splitting oversized items at natural boundaries, by byte ranges with halos.
+
+Items are stretches of files. A worker reads one range of bytes with a halo at either side and finds
+all the boundaries in it; no worker loads a whole item. At the start of every range but the first there
+is a cut at the first of the strongest boundaries there; the worker of the range before sees the same
+characters in its halo and so finds the same cut. Between two such cuts pieces are cut one after the
+other. Boundary tables of the ranges are then stitched: prefix sums over their lengths give the pieces'
+offsets and numbers, and workers read the ranges again to emit the pieces by offset. Texts that come in a table
+are put into files first, many in one.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusspark.tables import written
+from corpusspark.tables import new_path, written
 
 LIMIT, OVERLAP = 2000, 200
-#: Characters (of texts) or bytes (of files) in one range.
+#: Bytes in one range.
 RANGE = 65_536
+#: Bytes of texts in one file, if they come in a table.
+FILE_BYTES = 1 << 28
 #: Boundaries by strength: blank line, line end, sentence end, separator, white space. A match ends
 #: at the boundary and depends on few characters around it, so a halo shows it as the whole text does.
 BOUNDARIES = [
@@ -33,7 +39,9 @@ BOUNDARIES = [
     re.compile(r"\s(?!\s)"),
 ]
 CONTEXT = 16
-RANGE_SCHEMA = "item string, range_no bigint, text string, at int, size int, more boolean"
+#: A range: its item's place in a file, in bytes, and its number in the item.
+_RANGE = "item string, path string, offset bigint, bytes bigint, range_no bigint"
+_TABLE = f"{_RANGE}, size int, n int, starts array<int>, ends array<int>"
 
 
 def _glued(t: str, p: int) -> bool:
@@ -104,80 +112,135 @@ def cut_range(t: str, at: int, size: int, more: bool, first: bool, limit: int =
     return pieces
 
 
-def text_ranges(items: DataFrame, size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Ranges of the texts in items (item, text), with halos; see RANGE_SCHEMA."""
-    left, right = overlap + 2 * CONTEXT, limit // 2 + 2 * CONTEXT
-    n, begin = F.length("text"), F.col("range_no") * size
-    at = F.least(F.lit(left), begin)
-    return (
-        items.select("item", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(n, F.lit(1)) - 1) / size).cast("bigint"))).alias("range_no"))
-        .select("item", "range_no", "text", at.cast("int").alias("at"), F.least(F.lit(size), n - begin).cast("int").alias("size"), (n > begin + size).alias("more"))
-        .withColumn("text", F.substring("text", (begin - F.col("at") + 1).cast("int"), F.col("at") + F.col("size") + right))
-    )
-
+def spooled(items: DataFrame) -> DataFrame:
+    """items (item, text, ...) with path, offset and bytes in place of text, as a written table: texts in files, many in one.
 
-def file_ranges(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Ranges of UTF-8 files (path, bytes) on a file system that all executors mount; item is the path.
-
-    A worker seeks to its own range and reads it with its halos, never the whole file. A range starts
-    and ends at the first character that starts at or after its bytes; what is not UTF-8 is replaced.
+    Every task attempt writes files of its own, and the table names those of the attempts that counted. The
+    folder is on the file system that executors share, reached by its URI.
+    """
+    folder = new_path(items.sparkSession, "p4-texts")
+    cols = [c for c in items.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(folder)
+        fs.create_dir(base, recursive=True)
+        out, name, at = None, "", 0
+        try:
+            for batch in batches:
+                paths, offsets, sizes = [], [], []
+                for text in batch.column("text").cast(pa.binary()).to_pylist():
+                    if out is None or at >= FILE_BYTES:
+                        if out is not None:
+                            out.close()
+                        name, at = uuid.uuid4().hex, 0
+                        out = fs.open_output_stream(f"{base}/{name}")
+                    out.write(text or b"")
+                    paths.append(f"{folder}/{name}")
+                    offsets.append(at)
+                    sizes.append(len(text or b""))
+                    at += sizes[-1]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(paths, pa.string()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], names=[*cols, "path", "offset", "bytes"])
+        finally:
+            if out is not None:
+                out.close()
+
+    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in cols)
+    return written(items.select(*cols, "text").mapInArrow(run, f"{kinds}, path string, offset bigint, bytes bigint"), "p4-items")
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, local or remote, and the path on it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _reader(size: int, limit: int, overlap: int):
+    """A function that reads a range (path, offset, bytes, range_no) with its halos: (text, at, size, more).
+
+    The range is text[at : at + size]. It starts and ends at the first character that starts at or after
+    its bytes; what is not UTF-8 is replaced. One file is open at a time.
     """
     left, right = 4 * (overlap + 2 * CONTEXT), 4 * (limit // 2 + 2 * CONTEXT)
+    held: dict = {"path": None, "file": None}
 
     def starts(b: bytes, p: int) -> int:
         while p < len(b) and b[p] & 0xC0 == 0x80:
             p += 1
         return min(p, len(b))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                low, high = r["range_no"] * size, min(r["bytes"], (r["range_no"] + 1) * size)
-                seek = max(0, low - left)
-                with open(r["item"].removeprefix("file://"), "rb") as f:
-                    f.seek(seek)
-                    b = f.read(high - seek + right)
-                a, e = starts(b, low - seek), starts(b, high - seek)
-                before, body = b[starts(b, 0) : a].decode(errors="replace"), b[a:e].decode(errors="replace")
-                after = b[e:] if high < r["bytes"] else b""
-                while after and seek + len(b) < r["bytes"] and len(after) > right - 4 and after[-1] & 0x80:
-                    after = after[:-1]
-                rows.append((r["item"], r["range_no"], before + body + after.decode(errors="replace"), len(before), len(body), high < r["bytes"]))
-            yield pa.RecordBatch.from_pydict({k: [x[i] for x in rows] for i, k in enumerate(("item", "range_no", "text", "at", "size", "more"))}, schema=pa.schema([("item", pa.string()), ("range_no", pa.int64()), ("text", pa.string()), ("at", pa.int32()), ("size", pa.int32()), ("more", pa.bool_())]))
-
-    table = spark.createDataFrame(files or [("", 0)], "item string, bytes bigint").where("bytes > 0")
-    ranges = table.select("item", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("bytes") - 1) / size).cast("bigint"))).alias("range_no"))
-    return ranges.repartition("item", "range_no").mapInArrow(read, RANGE_SCHEMA)
-
-
-def boundary_tables(ranges: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(item, range_no, at, size, n, starts, ends): the pieces of each range, placed in its text."""
+    def read(path: str, offset: int, total: int, range_no: int) -> tuple[str, int, int, bool]:
+        if held["path"] != path:
+            if held["file"] is not None:
+                held["file"].close()
+            fs, at = _file_system(path)
+            held.update(path=path, file=fs.open_input_file(at))
+        low, high = range_no * size, min(total, (range_no + 1) * size)
+        seek, stop = max(0, low - left), min(total, high + right)
+        b = held["file"].read_at(stop - seek, offset + seek)
+        a, e = starts(b, low - seek), starts(b, high - seek)
+        before, body = b[starts(b, 0) : a].decode(errors="replace"), b[a:e].decode(errors="replace")
+        after = b[e:] if high < total else b""
+        if stop < total:  # the last character may be cut off
+            while after and after[-1] & 0xC0 == 0x80:
+                after = after[:-1]
+            after = after[:-1] if after and after[-1] & 0x80 else after
+        return before + body + after.decode(errors="replace"), len(before), len(body), high < total
+
+    return read
+
+
+def item_ranges(items: DataFrame, size: int = RANGE) -> DataFrame:
+    """(item, path, offset, bytes, range_no) of each range of the items (item, path, offset, bytes), spread over tasks by file and place."""
+    spread = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("bytes") - 1) / size).cast("bigint"))
+    ranges = items.where("bytes > 0").select("item", "path", "offset", "bytes", F.explode(spread).alias("range_no"))
+    return ranges.repartition("path", F.floor((F.col("offset") + F.col("range_no") * size) / (64 * size))).sortWithinPartitions("path", "offset", "range_no")
+
+
+def boundary_tables(ranges: DataFrame, size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """ranges with size, n, starts and ends: each range's characters, and its pieces, placed in what its worker read."""
+    schema = pa.schema([("item", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("bytes", pa.int64()), ("range_no", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(size, limit, overlap)
         for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in ("text", "at", "size", "more", "range_no")}
-            cuts = [cut_range(t, a, s, m, r == 0, limit, overlap) for t, a, s, m, r in zip(cols["text"], cols["at"], cols["size"], cols["more"], cols["range_no"], strict=True)]
-            ints = lambda i: pa.array([[c[i] for c in x] for x in cuts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("range_no"), batch.column("at"), batch.column("size"), pa.array([len(x) for x in cuts], pa.int32()), ints(0), ints(1)], names=["item", "range_no", "at", "size", "n", "starts", "ends"])
+            cuts, sizes = [], []
+            for r in batch.to_pylist():
+                text, at, own, more = read(r["path"], r["offset"], r["bytes"], r["range_no"])
+                cuts.append(cut_range(text, at, own, more, r["range_no"] == 0, limit, overlap))
+                cuts[-1] = [(a - at, e - at) for a, e in cuts[-1]]
+                sizes.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array([len(c) for c in cuts], pa.int32()), *(pa.array([[p[i] for p in c] for c in cuts], pa.list_(pa.int32())) for i in (0, 1))], schema=schema)
 
-    return ranges.mapInArrow(find, "item string, range_no bigint, at int, size int, n int, starts array<int>, ends array<int>")
+    return ranges.mapInArrow(find, _TABLE)
 
 
 def stitched(tables: DataFrame) -> DataFrame:
-    """The boundary tables with piece_0 and offset: pieces and characters of the item before each range."""
+    """The boundary tables with piece_0 and chars_0: pieces and characters of the item before each range."""
     before = Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint")
-    return tables.withColumn("piece_0", total("n")).withColumn("offset", total("size"))
+    return tables.withColumn("piece_0", total("n")).withColumn("chars_0", total("size"))
+
+
+def emitted(tables: DataFrame, size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(item, piece_no, start, end, piece): every piece, with its place in the whole item, in characters from 0.
+
+    Only offsets are shuffled; the ranges' bytes are read again where the pieces are made.
+    """
+    kinds = [("item", pa.string()), ("piece_no", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("piece", pa.string())]
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(size, limit, overlap)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                out: list[tuple] = []
+                for r in whole.slice(i, 64).to_pylist():
+                    text, at, _, _ = read(r["path"], r["offset"], r["bytes"], r["range_no"])
+                    out += [(r["item"], r["piece_0"] + k, r["chars_0"] + a, r["chars_0"] + e, text[at + a : at + e]) for k, (a, e) in enumerate(zip(r["starts"], r["ends"], strict=True))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
 
-def emitted(ranges: DataFrame, tables: DataFrame) -> DataFrame:
-    """(item, piece_no, start, end, piece): every piece, with its place in the whole item, from 0."""
-    on = ["item", "range_no"]
-    both = ranges.select(*on, "text").join(stitched(tables).where("n > 0"), on).withColumn("p", F.explode(F.transform("starts", lambda x, i: F.struct(x.alias("starts"), F.get("ends", i).alias("ends"), i.alias("i")))))
-    start, end = F.col("p.starts"), F.col("p.ends")
-    place = F.col("offset") - F.col("at")
-    return both.select("item", (F.col("piece_0") + F.col("p.i")).alias("piece_no"), (place + start).alias("start"), (place + end).alias("end"), F.substring("text", start + 1, end - start).alias("piece"))
+    return stitched(tables).where("n > 0").mapInArrow(cut, "item string, piece_no bigint, start bigint, end bigint, piece string")
 
 
 def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -197,10 +260,10 @@ def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def oversized_tables(chunks: DataFrame, size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    items = oversized(chunks, limit)
-    ranges = text_ranges(items, size, limit, overlap)
-    return items, ranges, written(boundary_tables(ranges, limit, overlap), "p4-tables")
+def oversized_tables(chunks: DataFrame, size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """(items, tables): the oversized texts, put into files, and their boundary tables."""
+    items = spooled(oversized(chunks, limit))
+    return items, written(boundary_tables(item_ranges(items, size), size, limit, overlap), "p4-tables")
 
 
 def split_chunks(chunks: DataFrame, size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -210,12 +273,12 @@ def split_chunks(chunks: DataFrame, size: int = RANGE, limit: int = LIMIT, overl
     Null, empty and short texts have no pieces; an empty table gives none. See oversized() for chunks
     staged again and cut_range() for where pieces end.
     """
-    items, ranges, tables = oversized_tables(chunks, size, limit, overlap)
-    pieces = emitted(ranges, tables)
-    return pieces.join(items.drop("text"), "item").select("chunk_id", "doc_id", "subject", "section_path", F.col("piece_no").alias("chunk_index"), "start", "end", F.col("piece").alias("text"))
+    items, tables = oversized_tables(chunks, size, limit, overlap)
+    pieces = emitted(tables, size, limit, overlap)
+    return pieces.join(items.drop("path", "offset", "bytes"), "item").select("chunk_id", "doc_id", "subject", "section_path", F.col("piece_no").alias("chunk_index"), "start", "end", F.col("piece").alias("text"))
 
 
 def split_files(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(item, piece_no, start, end, piece) of UTF-8 files, each read in ranges; see file_ranges()."""
-    ranges = file_ranges(spark, files, size, limit, overlap)
-    return emitted(ranges, written(boundary_tables(ranges, limit, overlap), "p4-files"))
+    """(item, piece_no, start, end, piece) of UTF-8 files (path or URI, bytes); item is the path. Empty files have no pieces."""
+    items = spark.createDataFrame([(p, p, 0, n) for p, n in files], "item string, path string, offset bigint, bytes bigint")
+    return emitted(written(boundary_tables(item_ranges(items, size), size, limit, overlap), "p4-files"), size, limit, overlap)

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from corpusspark.llm import repeated_lines, splitting
+from corpusspark.tables import written
 from tests.conftest import rows
 
 CHUNK = "chunk_id string, doc_id string, subject string, section_path string, text string, staged_at timestamp, k1 string, line_no int"
@@ -55,12 +56,35 @@ def test_hot_line_and_empty_table(spark):
 
 
 def test_sequences_grow(spark):
-    block = "first of the block\nsecond of the block\nthird of the block"
+    block = "first of the block\n\nsecond of the block\nno\nthird of the block"  # blank and short lines part nothing
     data = [(f"c{i}", f"d{i}", "s", f"own words {'x' * i} here\n{block}") for i in range(6)] + [("p", "p", "s", "second of the block\nthird of the block")]
     found = repeated_lines.frequent_sequences(_frame(spark, data))
-    assert sorted((r.length, r.n_docs) for r in found.select("length", "k1", "k2", "n_docs").distinct().collect()) == [(1, 6), (1, 7), (1, 7), (2, 6), (2, 7), (3, 6)]
+    assert sorted((r.length, r.n_docs) for r in found.select("length", "k1", "k2", "n_docs").distinct().collect()) == [(1, 6), (1, 7), (1, 7), (2, 6), (2, 7)]
+    assert {(r.first_line, r.last_line) for r in found.where("length = 2 and chunk_id = 'c1'").collect()} == {(1, 3), (3, 5)}
     clean = {r.chunk_id: r.text for r in repeated_lines.without_repeated_lines(_frame(spark, data)).collect()}
-    assert clean["p"] == "" and clean["c2"] == "own words xx here"
+    assert clean["p"] == "" and clean["c2"] == "own words xx here\n\nno"
+
+
+def test_a_long_notice_takes_few_levels(spark, monkeypatch):
+    notice = "\n\n".join(f"line {chr(97 + i // 26)}{chr(97 + i % 26)} of the notice" for i in range(500))
+    data = [(f"c{i}", f"d{i}", "s", f"own words {'x' * i} here\n{notice}\nmore own words {'y' * i}") for i in range(6)]
+    tables = []
+    monkeypatch.setattr(repeated_lines, "written", lambda df, tag: tables.append(tag) or written(df, tag))
+    found = repeated_lines.frequent_sequences(_frame(spark, data))
+    assert {r.length: r["count"] for r in found.groupBy("length").count().collect()} == {2**k: 6 * (501 - 2**k) for k in range(9)}
+    assert tables.count("p1-grown") == 9
+    assert rows(repeated_lines.repeated_lines(_frame(spark, data))) == sorted(((f"c{i}", 1 + 2 * k) for i in range(6) for k in range(500)), key=lambda t: tuple(map(str, t)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_clean_equals_brute_force(spark, seed, most):
+    data = _lines(seed)
+    gone = set(_brute(data, 3))
+    want = sorted(((c, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (c, i) not in gone)) for c, _, _, t in data), key=str)
+    got = repeated_lines.without_repeated_lines(_frame(spark, data), 3, broadcast_lines=most)
+    assert got.columns == _frame(spark, data).columns
+    assert sorted(((r.chunk_id, r.text) for r in got.collect()), key=str) == want
 
 
 def test_clean_keeps_rows_columns_and_nulls(spark):
@@ -125,3 +149,18 @@ def test_files_are_cut_as_texts_are(spark, tmp_path):
         assert all(t[r.start : r.end] == r.piece for r in own) and own[0].start == 0 and own[-1].end == len(t)
         assert all(len(r.piece) <= 2000 for r in own) and all(a.end - 200 <= b.start <= a.end for a, b in zip(own, own[1:]))
     assert re.sub(r"\s", "", "".join(r.piece for r in found["2.txt"]))  # a text without any boundary too
+
+
+def test_one_long_text_is_cut_in_linear_time(spark):
+    import time
+
+    line = "The reader opens the key store, reads one page of it and closes it again. Ünïcödé 漢字 too.\n"
+    took = []
+    for n in (1, 8):
+        text = line * (n * 20_000)
+        t = time.time()
+        found = splitting.split_chunks(_frame(spark, [("c", "d", "s", text)])).select("chunk_index", "start", "end").orderBy("chunk_index").collect()
+        took.append(time.time() - t)
+        assert found[0].start == 0 and found[-1].end == len(text) and [r.chunk_index for r in found] == list(range(len(found)))
+        assert all(a.end - 200 <= b.start <= a.end < b.end and b.end - b.start <= 2000 for a, b in zip(found, found[1:]))
+    assert took[1] < 16 * max(took[0], 1)
