@@ -104,7 +104,45 @@ def test_long_prefixes_lose_nothing(spark, monkeypatch):
     found = rows(near_duplicates.near_duplicate_pairs(df))
     monkeypatch.setattr(near_duplicates, "VERIFY_COST", 1000)
     monkeypatch.setattr(near_duplicates, "RANGE_POSTINGS", 50)
-    assert rows(near_duplicates.near_duplicate_pairs(df)) == found
+    monkeypatch.setattr(near_duplicates, "FAN_BITS", 3)
+    monkeypatch.setattr(near_duplicates, "GATHERED", 300)
+    assert rows(near_duplicates.near_duplicate_pairs(df)) == found  # many ranges, told apart in several shuffles
+    monkeypatch.setattr(near_duplicates, "HOT", 3)
+    assert rows(near_duplicates.near_duplicate_pairs(df)) == found  # common sequences in blocks
+    monkeypatch.setattr(near_duplicates, "LOAD", 1e-4)
+    assert rows(near_duplicates.near_duplicate_pairs(df)) == found  # an order from a part of the texts
+
+
+def test_blocks_let_two_texts_meet_once():
+    r = np.random.default_rng(3)
+    h, keys = np.repeat(np.array([5, 9], np.uint64), 200), np.tile(r.integers(-(2**60), 2**60, 200), 2)
+    met = np.where(h == 5, 7.5 * near_duplicates.HOT, 3.0)
+    posting, item, side = near_duplicates._blocks(h, keys, met)
+    seen = {}
+    for x in np.unique(item):
+        own = np.flatnonzero(item == x)
+        for i, j in combinations(own, 2):
+            if side[i] != side[j] or side[i] == 2:
+                k = (int(h[posting[i]]), *sorted((int(keys[posting[i]]), int(keys[posting[j]]))))
+                seen[k] = seen.get(k, 0) + 1
+    assert set(seen.values()) == {1} and len(seen) == 2 * 199 * 100
+
+
+def test_packed_rows_grow_with_the_data_not_with_the_ranges(spark, monkeypatch):
+    data = [(f"c{i}", f"d{i}", " ".join(f"w{(i * 7919 + j * j) % 50021}" for j in range(60))) for i in range(2000)]
+    df = spark.createDataFrame(data, "chunk_id string, doc_id string, text string").coalesce(2)
+    kinds = near_duplicates._sets_and_sketch(df, 3, 20, 1.0).cache()
+    sketch = columns.summed(kinds.where("kind = 1"), np.int32)
+    sizes = {}
+    monkeypatch.setattr(near_duplicates, "FAN_BITS", 4)
+    for bits in (3, 6, 9):
+        p = near_duplicates.prefix_postings(kinds.where("kind = 0"), sketch, 1.0, bits, 0.6)
+        n, size, entries = 0, 0, 0
+        for r in p.collect():
+            n, size, entries = n + 1, size + sum(len(r[c]) for c in near_duplicates._POSTING), entries + len(columns.unpack(bytes(r["items"]), np.uint64))
+        sizes[bits] = (n, size, entries)
+    assert len({x[2] for x in sizes.values()}) == 1  # the same postings
+    assert sizes[9][0] <= 2**9 * 4 and sizes[6][0] <= 2**6 * 4
 
 
 def test_no_near_duplicates(spark):
