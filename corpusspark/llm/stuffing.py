@@ -42,23 +42,40 @@ COUNTERS, COMMON = 1 << 14, 64
 SENTENCE = 40
 #: Words; in scripts without spaces each character is one.
 _TERM = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_぀-ヿ㐀-鿿฀-๿]+")
-_END = re.compile(r"[^\W_](?:[^\W\d_]|\d\d|[)\"'])[.!?…؟]+[\"')\]]*(?=\s|$)|[。！？।]")
+_END = re.compile(r"[.!?…؟]+[\"')\]]*(?=\s|$)|[。！？।]")
 #: Lines that are neither sentences nor lists: tables, code, settings, markup and contracts, encoded data.
 _TABLE = re.compile(r"\s*\|.*\|\s*$|\s*[|+:=-]{3,}[\s|+:=-]*$|(?:[^\t]+\t){2,}")
-_CODE = re.compile(r".*[;{}]\s*$|\s*(?:def|class|return|public|private|protected|static|package|if|for|while|else|try|catch|var|let|const)\b.*[({:;=]\s*$|\s*(?:import|from|package|using|namespace)\s+[\w.*]+\s*$|\s*[@}\])]|\s{2,}\S.*[(=]|\s*(?://|/\*|\*/)|\s*`[^`]+`\s*$|.*\b\w+\([^)]*\)\s*(?:[;{:]|=>)")
+_CODE = re.compile(r"\s*(?:def|class|return|public|private|protected|static|package|if|for|while|else|try|catch|var|let|const)\b.*[({:;=]\s*$|\s*(?:import|from|package|using|namespace)\s+[\w.*]+\s*$|\s*[@}\])]|\s{2,}\S.*[(=]|\s*(?://|/\*|\*/)|\s*`[^`]+`\s*$|.*\b\w+\([^)]*\)\s*(?:[;{:]|=>)")
 _SETTING = re.compile(r"\s*(?:- )?[\w.-]+\s*(?:[:=]\s*(?![^\s]*//)(?:[^\s,;|#]+\s?){0,3}$)|\s*\[[\w. -]+\]\s*$|\s*</?(?![aA]\b)[A-Za-z][^>]*>|\s*[-*] \w[\w ]*: ?`")
-_BLOB = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+=]{40,}|[A-Za-z0-9+/=]{60,}|(?:[0-9a-fA-F]{2}[\s:]){16,}|(\S)\1{15,}")
+_MARKED = re.compile(r"[:=<\[({`@})\]/]|^\s*(?:import|from|package|using|namespace)\s")
+_BLOB = re.compile(r"[\w+/=-]+")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _FEATURES = "doc_id bigint, key bigint, lang string, n_words int, freqs array<int>, counts array<int>, spots array<int>, shares array<float>, prose boolean, other_share double"
 _PAGE = ["doc_id", "key", "language", "length", "n_words", "overlap", "prose", "other_share"]
 
 
+def sentence_ends(text: str) -> int:
+    """How many sentences end in text: marks after a word, not after a number or a single letter."""
+    n = 0
+    for m in _END.finditer(text):
+        at = m.start()
+        n += m.group() in "。！？।" or at > 1 and (text[at - 1].isalpha() or text[at - 1] in ")\"'`" or text[at - 2 : at].isdigit()) and not text[at - 2].isspace()
+    return n
+
+
+def _is_blob(token: str) -> bool:
+    """Whether a run of characters without space is encoded data, or one or two characters over and over."""
+    return len(token) >= 16 and (len(set(token)) <= 2 or len(token) >= 40 and _BLOB.fullmatch(token) is not None and (len(token) >= 60 or any(c.isdigit() for c in token)))
+
+
 def is_other_line(line: str) -> bool:
     """Whether a line is code, part of a table, configuration, a contract or encoded data: neither a sentence nor a list."""
-    if _TABLE.match(line) or _SETTING.match(line) or _CODE.match(line):
+    if line.rstrip().endswith((";", "{", "}")) or _TABLE.match(line) or _MARKED.search(line) and (_SETTING.match(line) or _CODE.match(line)):
+        return True
+    tokens = line.split()
+    if len(tokens) >= 16 and all(len(t) == 2 for t in tokens):  # bytes in hexadecimal digits
         return True
-    found = sum(len(m.group()) for m in _BLOB.finditer(line)) if len(line) >= 16 else 0
-    return found >= 0.5 * len(line.strip()) > 0
+    return 2 * sum(len(t) for t in tokens if len(t) >= 16 and _is_blob(t)) >= sum(map(len, tokens)) > 0
 
 
 def other_share(text: str) -> float:
@@ -113,7 +130,7 @@ def page_features(docs: DataFrame) -> DataFrame:
                     s = _spots[w]
                     spots[s] = spots.get(s, 0) + n
                 other = other_share(text)
-                prose = other < 0.5 and len(_END.findall(text)) * SENTENCE >= len(terms)
+                prose = other < 0.5 and sentence_ends(text) * SENTENCE >= len(terms)
                 rows.append((doc, key, lang or "", len(terms), [f for f, _ in classes], [n for _, n in classes], list(spots), [n / len(terms) for n in spots.values()], prose, other))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -122,30 +139,37 @@ def page_features(docs: DataFrame) -> DataFrame:
 
 
 def language_models(features: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, n, sums): how many different texts of prose each language has, and the sums of their words' shares by counter.
+    """(languages, n, sums): how many texts of prose each language has, and the sums of their words' shares by counter.
 
-    Every text counts once, however many copies there are, and as much as any other, however long.
-    Languages with fewer than LEAST_PEERS texts are one language, "". One array of fixed size for each
-    language reaches the driver; codes have two letters.
+    A text counts once in each part of the written features, however many copies there are, and as much as any
+    other, however long: a group of copies weighs no more than a page for each task. Languages with fewer
+    than LEAST_PEERS texts are one language, "". One array of fixed size for each language reaches the
+    driver; codes have two letters.
     """
-    prose = features.where("prose").dropDuplicates(["key"])
-    sizes = {r[0]: r[1] for r in prose.groupBy("lang").count().collect()}
-    known = sorted({"", *(x for x, n in sizes.items() if n >= LEAST_PEERS)})
-    n = np.array([sizes.get(x, 0) if x else sum(k for y, k in sizes.items() if y not in known or not y) for x in known], np.float64)
-    at = {x: i for i, x in enumerate(known)}
+    langs = sorted({"", *(r[0] for r in features.select("lang").distinct().collect())})
+    at = {x: i for i, x in enumerate(langs)}
+    width = COUNTERS + 1  # the last counter is the number of texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known) * COUNTERS)
+        total, seen = np.zeros((len(langs), width)), np.zeros(0, np.int64)
         for batch in batches:
-            own = np.array([at.get(x, at[""]) for x in batch.column(0).to_pylist()])
-            lens = np.diff(batch.column(1).offsets.to_numpy())
-            place = np.repeat(own, lens) * COUNTERS + batch.column(1).flatten().to_numpy()
-            total += np.bincount(place, batch.column(2).flatten().to_numpy(), len(total))
-        parts = sliced(total)
+            keys, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            first = np.sort(first[~np.isin(keys, seen)])
+            seen = np.union1d(seen, keys)
+            batch = batch.take(pa.array(first))
+            own = np.array([at[x] for x in batch.column(1).to_pylist()], np.int64)
+            lens = np.diff(batch.column(2).offsets.to_numpy())
+            place = np.repeat(own, lens) * width + batch.column(2).flatten().to_numpy()
+            total += np.bincount(place, batch.column(3).flatten().to_numpy(), total.size).reshape(total.shape)
+            total[:, -1] += np.bincount(own, minlength=len(langs))
+        parts = sliced(total.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["slice", "part"])
 
-    found = summed(prose.select("lang", "spots", "shares").mapInArrow(run, "slice int, part binary"), np.float64)
-    return known, n, found.reshape(len(known), COUNTERS) if len(found) else np.zeros((len(known), COUNTERS))
+    found = summed(features.where("prose").select("key", "lang", "spots", "shares").mapInArrow(run, "slice int, part binary"), np.float64)
+    found = found.reshape(len(langs), width) if len(found) else np.zeros((len(langs), width))
+    thin = np.array([x == "" or n < LEAST_PEERS for x, n in zip(langs, found[:, -1], strict=True)])
+    found = np.concatenate([found[thin].sum(axis=0, keepdims=True), found[~thin]])
+    return ["", *(x for x, t in zip(langs, thin, strict=True) if not t)], found[:, -1], found[:, :-1]
 
 
 def measured(features: DataFrame) -> DataFrame:
@@ -198,6 +222,7 @@ def curves(features: DataFrame) -> DataFrame:
     classes = (
         pages.select(*_PAGE, F.explode(F.arrays_zip("freqs", "counts")).alias("c"))
         .select(*_PAGE, F.col("c.freqs").cast("double").alias("freq"), F.col("c.counts").cast("double").alias("n"))
+        .distinct()  # repeated rows
         .withColumn("top", F.sum("n").over(by_rank))
         .withColumn("x", F.log(F.col("top") - (F.col("n") - 1) / 2))
         .withColumn("y", F.log("freq"))
@@ -281,7 +306,7 @@ def stuffed_pages(docs: DataFrame, share: float = SHARE, left: float = LEFT, sd:
 def measured_pages(docs: DataFrame, sd: dict[str, float] = EXTREME) -> DataFrame:
     """The extreme pages of docs; see extreme() and stuffed_pages()."""
     features = written(page_features(docs), "p8-pages")
-    return extreme(curves(features.dropDuplicates(["doc_id", "key"])), sd)
+    return extreme(curves(features), sd)
 
 
 def lists(pages: DataFrame, share: float = SHARE, left: float = LEFT) -> DataFrame:
