@@ -32,6 +32,8 @@ class Searching:
     top_n: int = 30
     multi_top_n: int = 60
     rerank: bool = True
+    reranker: str = "overlap"
+    reranker_options: dict[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
+import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -21,7 +23,7 @@ MAX_TOKENS = 8192
 
 
 class Encoder(Protocol):
-    """encode(texts) gives a matrix of unit rows and, for each text, positive weights by token id."""
+    """encode(texts) gives a matrix of rows and, for each text, positive weights by token id; queries and chunks alike."""
 
     dim: int
 
@@ -29,12 +31,12 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Counts of tokens in hash buckets: deterministic, the same in SQL, no weights needed."""
+    """Counts of tokens in hash buckets, of unit length or as they are: deterministic, the same in SQL, no weights needed."""
 
     _token = re.compile(r"[^\W_]+")
 
-    def __init__(self, dim: int = DIM, vocabulary: int = 1 << 20) -> None:
-        self.dim, self.vocabulary = dim, vocabulary
+    def __init__(self, dim: int = DIM, vocabulary: int = 1 << 20, unit: bool = True) -> None:
+        self.dim, self.vocabulary, self.unit = dim, vocabulary, unit
         self._hash: dict[str, int] = {}
 
     def _of(self, token: str) -> int:
@@ -55,7 +57,7 @@ class HashingEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[dict[int, float]]]:
         dense = self.counts(texts)
-        n = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+        n = np.sqrt((dense * dense).sum(axis=1, keepdims=True)) if self.unit else np.ones((len(texts), 1))
         sparse = [pooled((self._of(w) % self.vocabulary, float(k)) for w, k in Counter(self._token.findall((t or "").lower())).items()) for t in texts]
         return dense / np.where(n == 0, 1, n), sparse
 
@@ -69,41 +71,93 @@ def pooled(weights, special: frozenset[int] = frozenset()) -> dict[int, float]:
     return out
 
 
-class OnnxEncoder:
-    """A model folder with model.onnx (or model_int8.onnx), tokenizer.json and sparse_head.npz (weight, bias).
+# The files of an exported model's folder, and tokens without meaning.
+MODEL, QUANTIZED, TOKENIZER, SPARSE_HEAD, META = "model.onnx", "model.int8.onnx", "tokenizer.json", "sparse_linear.npz", "meta.json"
+SPECIAL = ["<s>", "</s>", "<pad>", "<unk>"]
 
-    Not tested with real weights, as none are at hand; the heads are tested on arrays.
-    """
 
-    def __init__(self, folder: str, int8: bool = True, max_tokens: int = MAX_TOKENS, threads: int = 1) -> None:
+class _OnnxModel:
+    """A model folder: MODEL or QUANTIZED, TOKENIZER and what else is needed; META, if it is there, is in `meta`."""
+
+    def __init__(self, folder: str, quantized: bool, max_tokens: int, threads: int, needs: tuple[str, ...] = ()) -> None:
         import onnxruntime
         from tokenizers import Tokenizer
 
-        at = Path(folder)
-        for need in ("model_int8.onnx" if int8 else "model.onnx", "tokenizer.json", "sparse_head.npz"):
+        at, model = Path(folder), QUANTIZED if quantized else MODEL
+        for need in (model, TOKENIZER, *needs):
             if not (at / need).exists():
                 raise FileNotFoundError(at / need)
+        self.meta = json.loads((at / META).read_text()) if (at / META).exists() else {}
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = threads
-        self._session = onnxruntime.InferenceSession(str(at / ("model_int8.onnx" if int8 else "model.onnx")), options, providers=["CPUExecutionProvider"])
-        self._tokenizer = Tokenizer.from_file(str(at / "tokenizer.json"))
-        self._tokenizer.enable_truncation(max_tokens)
-        self._tokenizer.enable_padding()
-        head = np.load(at / "sparse_head.npz")
+        self.session = onnxruntime.InferenceSession(str(at / model), options, providers=["CPUExecutionProvider"])
+        self.tokenizer = Tokenizer.from_file(str(at / TOKENIZER))
+        self.tokenizer.enable_truncation(max_tokens)
+        pad = self.tokenizer.token_to_id("<pad>")
+        self.tokenizer.enable_padding(pad_id=pad if pad is not None else 0, pad_token="<pad>")
+        self.special = frozenset(i for t in SPECIAL if (i := self.tokenizer.token_to_id(t)) is not None)
+
+    def run(self, inputs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(output, ids, mask) of a batch of texts or pairs; inputs that the model has not are left out."""
+        found = self.tokenizer.encode_batch(inputs)
+        ids, mask = np.array([e.ids for e in found], np.int64), np.array([e.attention_mask for e in found], np.int64)
+        own = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        return self.session.run(None, {i.name: own[i.name] for i in self.session.get_inputs()})[0], ids, mask
+
+
+class OnnxEncoder:
+    """An exported encoder: a folder with model.int8.onnx (or model.onnx), tokenizer.json, sparse_linear.npz (weight, bias) and meta.json."""
+
+    def __init__(self, folder: str, int8: bool = True, max_tokens: int = MAX_TOKENS, threads: int = 1) -> None:
+        self._model = _OnnxModel(folder, int8, max_tokens, threads, (SPARSE_HEAD,))
+        head = np.load(Path(folder) / SPARSE_HEAD)
         self._weight, self._bias = head["weight"].reshape(-1), float(head["bias"].reshape(-1)[0])
-        self._special = frozenset(i for t, i in self._tokenizer.get_vocab().items() if t in ("<s>", "</s>", "<pad>", "<unk>", "[CLS]", "[SEP]", "[PAD]"))
-        self.dim = self._session.get_outputs()[0].shape[-1]
+        self.dim = len(self._weight)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[dict[int, float]]]:
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts of like length pad little
-        found = self._tokenizer.encode_batch([texts[i] for i in order])
-        ids, mask = np.array([e.ids for e in found], np.int64), np.array([e.attention_mask for e in found], np.int64)
-        hidden = self._session.run(None, {"input_ids": ids, "attention_mask": mask})[0]
-        dense, sparse = heads(hidden, ids, mask, self._weight, self._bias, self._special)
+        hidden, ids, mask = self._model.run([texts[i] for i in order])
+        dense, sparse = heads(hidden, ids, mask, self._weight, self._bias, self._model.special)
         back = np.argsort(order)
         return dense[back], [sparse[i] for i in back]
 
 
+class Reranker(Protocol):
+    """score(query, passages) gives a number for each passage, greater for a better answer, positive for a relevant one."""
+
+    def score(self, query: str, passages: list[str]) -> list[float]: ...
+
+
+class OnnxReranker:
+    """An exported cross-encoder: a folder with model.int8.onnx (or model.onnx), tokenizer.json and meta.json; one number a pair."""
+
+    def __init__(self, folder: str, int8: bool = True, max_tokens: int = 512, threads: int = 1, batch: int = 64) -> None:
+        self._model, self._batch = _OnnxModel(folder, int8, max_tokens, threads), batch
+
+    def score(self, query: str, passages: list[str]) -> list[float]:
+        parts = [self._model.run([(query, p) for p in passages[i : i + self._batch]])[0] for i in range(0, len(passages), self._batch)]
+        return [float(x) for p in parts for x in np.asarray(p).reshape(-1)]
+
+
+#: Rerankers by name; `overlap` is an expression, see retrieval.overlap_score().
+RERANKERS: dict[str, Callable[..., Reranker]] = {"onnx": OnnxReranker}
+
+
+def _named(known: dict, kind: str, backend: str, more: tuple[str, ...] = ()) -> Callable:
+    """What the registry has under a name, or the class that `module:Class` names; anything else is a ValueError."""
+    if ":" in backend:
+        module, _, name = backend.partition(":")
+        return getattr(importlib.import_module(module), name)
+    if backend not in known:
+        raise ValueError(f"unknown {kind} {backend!r}; known: {', '.join(sorted([*known, *more]))}, or module:Class")
+    return known[backend]
+
+
+def reranker(backend: str) -> Callable[..., Reranker]:
+    """What makes the reranker of that name (`module:Class` for one of your own); an unknown one is a ValueError."""
+    return _named(RERANKERS, "reranker", backend, ("overlap",))
+
+
 def heads(hidden: np.ndarray, ids: np.ndarray, mask: np.ndarray, weight: np.ndarray, bias: float, special: frozenset[int]) -> tuple[np.ndarray, list[dict[int, float]]]:
     """Dense: the first position's state, of unit length. Sparse: the positive part of a linear head, pooled by token."""
     first = hidden[:, 0]
@@ -116,10 +170,8 @@ BACKENDS: dict[str, Callable[..., Encoder]] = {"hashing": HashingEncoder, "onnx"
 
 
 def encoder(backend: str = "hashing", **options) -> Encoder:
-    """The encoder of that name; an unknown one is a ValueError."""
-    if backend not in BACKENDS:
-        raise ValueError(f"unknown encoder {backend!r}; known: {', '.join(sorted(BACKENDS))}")
-    return BACKENDS[backend](**options)
+    """The encoder of that name (`module:Class` for one of your own); an unknown one is a ValueError."""
+    return _named(BACKENDS, "encoder", backend)(**options)
 
 
 _loaded: dict[tuple, Encoder] = {}
@@ -130,7 +182,7 @@ def encoded(rows: DataFrame, backend: str = "hashing", batch: int = 256, **optio
 
     rows must have a column text; null texts are encoded as empty ones.
     """
-    key = (backend, tuple(sorted(options.items())))
+    key = (backend, json.dumps(options, sort_keys=True, default=str))
     names, at = rows.columns, rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusspark.functions.scalars import is_blank, snippet, tokens
-from corpusspark.operators.encoding import DIM, HashingEncoder, postings
+from corpusspark.operators.encoding import encoded, reranker
 
 #: Candidates of a channel, of one pool, of all pools together, and results; the constant of rank fusion.
 PREFETCH, TOP_N, MULTI_TOP_N, DEFAULT_K, RRF = 50, 30, 60, 6, 60
 #: Queries of one block: what a worker holds of them is bounded; more queries are searched block by block.
 BLOCK = 4096
+#: Scores a worker holds at once.
+SCORES = 4_000_000
 POOL = ["query_id", "subject"]
 
 
@@ -52,106 +54,173 @@ def unresolved(requests: DataFrame, subjects: DataFrame) -> DataFrame:
     return found.select("request_id", reason.alias("reason")).where("reason is not null")
 
 
+def with_vectors(requests: DataFrame, backend: str = "hashing", **options) -> DataFrame:
+    """requests with dense and sparse of their query, by the encoder that has encoded the chunks."""
+    queries = encoded(requests.select(F.col("query").alias("text")).distinct(), backend, **options).withColumnRenamed("text", "query")
+    return requests.join(queries, "query").select(*requests.columns, "dense", "sparse")
+
+
 def _ranked(scored: DataFrame, n: int, by: str = "score") -> DataFrame:
     """The n best of each query and pool with their rank; equal scores are in the order of chunk_id."""
     w = Window.partitionBy(*POOL).orderBy(F.col(by).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def sparse_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, subject, chunk_id, score): dot products of term counts, for chunks that share a term.
+class _Best:
+    """The n best of each query that a task has seen, by score, then id."""
 
-    Chunk postings are narrowed to the queries' terms before the join; a term that a third of all
-    chunks have is split by the adaptive skew join.
-    """
-    asked = queries.select("query_id", "subject", F.explode(tokens(F.col("query"))).alias("token")).groupBy(*POOL, "token").agg(F.count(F.lit(1)).cast("double").alias("asked"))
-    terms = asked.select("subject", "token").distinct()
-    exploded = chunks.select("subject", "chunk_id", F.explode(tokens(F.col("text"))).alias("token")).join(terms, ["subject", "token"], "left_semi")
-    own = exploded.groupBy("subject", "chunk_id", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return asked.join(own, ["subject", "token"]).groupBy(*POOL, "chunk_id").agg(F.sum(F.col("asked") * F.col("weight")).alias("score"))
+    def __init__(self, queries: int, n: int) -> None:
+        self.n, self.least, self.held = n, np.full(queries, -np.inf), [[] for _ in range(queries)]
 
+    def add(self, q: int, score: np.ndarray, ids: list) -> None:
+        at = np.flatnonzero(score >= self.least[q])
+        if len(at) > self.n:
+            at = at[score[at] >= np.partition(score[at], -self.n)[-self.n]]
+        if len(at):
+            both = sorted([*self.held[q], *((-float(score[j]), ids[j]) for j in at)])[: self.n]
+            self.held[q] = both
+            if len(both) == self.n:
+                self.least[q] = -both[-1][0]
 
-def sparse_topn(queries: DataFrame, chunks: DataFrame, n: int = PREFETCH) -> DataFrame:
-    return _ranked(sparse_scores(queries, chunks), n)
 
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """The queries' rows, block by block, in the order of their ids."""
+    blocks = max(1, -(-queries.select("query_id").distinct().count() // BLOCK))
+    for b in range(blocks):
+        yield sorted(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect(), key=lambda r: (r["query_id"], r["subject"]))
 
-def dense_topn(queries: DataFrame, chunks: DataFrame, n: int = PREFETCH, dim: int = DIM) -> DataFrame:
-    """(query_id, subject, chunk_id, score, rank): nearest chunks by the cosine of hashed counts, exactly.
 
-    The queries, a stated set that is small beside the chunks, go to the workers in blocks of BLOCK; a
-    worker scores a batch of chunks against a block with one matrix product and keeps the n best of
-    each query and pool, so n rows a query leave a batch at most, and no chunk is shuffled.
-    Chunks without a token score 0 and come last.
+def _best_of_tasks(queries: DataFrame, rows: DataFrame, n: int, made: Callable[[list], object]) -> DataFrame:
+    """(query_id, subject, chunk_id, score): of each task's rows the n best for each query and pool.
+
+    rows: subject, chunk_id, and the columns to be scored. made(queries of one pool) gives a function from
+    a batch of these columns to a matrix of scores, a row for each query; scores that are not finite do not
+    count. At most n rows a query and pool leave a task, however many it reads, and no row is shuffled before.
     """
-    blocks = -(-queries.select("query_id").distinct().count() // BLOCK)
-    found = None
-    for b in range(max(1, blocks)):
-        part = queries.select("query_id", "subject", "query").where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == b)
-        one = _dense_block(sorted(map(tuple, part.collect())), chunks, n, dim, part.schema["query_id"].dataType.simpleString())
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema} | {f"own_{f.name}": f.dataType.simpleString() for f in rows.schema}
+    found, rows = None, rows.where("chunk_id is not null")
+    for block in _blocks(queries):
+        pools: dict[str, list[int]] = {}
+        for i, r in enumerate(block):
+            pools.setdefault(r["subject"], []).append(i)
+        scorers = {s: made([block[i] for i in own]) for s, own in pools.items()}
+        shared = rows.sparkSession.sparkContext.broadcast((pools, scorers, [(r["query_id"], r["subject"]) for r in block]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pools, scorers, names = shared.value
+            best = _Best(len(names), n)
+            most = max(1, SCORES // max([1, *(len(p) for p in pools.values())]))
+            for whole in batches:
+                for i in range(0, whole.num_rows, most):
+                    batch = whole.slice(i, most)
+                    subject = np.array(batch.column(0).to_pylist(), object)
+                    for s in set(subject.tolist()) & pools.keys():
+                        part = batch.take(pa.array(np.flatnonzero(subject == s)))
+                        ids = part.column(1).to_pylist()
+                        for q, score in zip(pools[s], scorers[s](ids, *part.columns[2:]), strict=True):
+                            best.add(q, np.where(np.isfinite(score), score, -np.inf) if score.size else score, ids)
+            out = [(*names[q], c, -x) for q, held in enumerate(best.held) for x, c in held if x < np.inf]
+            if out:
+                yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(("query_id", "subject", "chunk_id", "score"))})
+
+        one = rows.mapInArrow(run, f"query_id {kinds['query_id']}, subject string, chunk_id {kinds['own_chunk_id']}, score double")
         found = one if found is None else found.unionByName(one)
-    return _ranked(found, n)
+    return found
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+class _Cosine:
+    """Cosines of one pool's queries with a batch of vectors; a vector of zeros has 0. alone: a vector with a query's own id has none."""
+
+    def __init__(self, queries: list, alone: bool = False) -> None:
+        q = np.array([r["dense"] for r in queries], np.float64)
+        self.unit, self.ids = _unit(q), [r["query_id"] for r in queries] if alone else None
+
+    def __call__(self, ids: list, dense: pa.Array) -> np.ndarray:
+        own = _matrix(dense)
+        if own.shape[1] != self.unit.shape[1]:
+            raise ValueError(f"the queries' vectors have {self.unit.shape[1]} dimensions, the stored ones {own.shape[1]}")
+        score = np.round(self.unit @ _unit(own).T, 9)
+        if self.ids is not None:
+            score[np.array(self.ids)[:, None] == np.array(ids)[None, :]] = -np.inf
+        return score
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(size == 0, 1, size)
+
+
+class _Dot:
+    """Dot products of one pool's sparse queries with a batch of sparse vectors; those that share no term do not count."""
+
+    def __init__(self, queries: list) -> None:
+        terms = sorted((t, i, w) for i, r in enumerate(queries) for t, w in (r["sparse"] or {}).items())
+        tokens = np.array([t for t, _, _ in terms], np.int64)
+        self.n = len(queries)
+        self.query, self.weight = np.array([i for _, i, _ in terms], np.int64), np.array([w for _, _, w in terms], np.float64)
+        self.vocabulary, self.starts = np.unique(tokens, return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(tokens)))
+
+    def __call__(self, ids: list, tokens: pa.Array, weights: pa.Array) -> np.ndarray:
+        lens = np.diff(tokens.offsets.to_numpy())
+        row = np.repeat(np.arange(len(ids)), lens)
+        token, weight = tokens.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False)
+        out = np.full((self.n, len(ids)), -np.inf)
+        if not len(self.vocabulary) or not len(token):
+            return out
+        at = np.minimum(np.searchsorted(self.vocabulary, token), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == token
+        at, row, weight = at[hit], row[hit], weight[hit]
+        n = self.counts[at]
+        spread = np.repeat(np.arange(len(at)), n)
+        post = self.starts[at][spread] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = self.query[post] * len(ids) + row[spread]
+        score = np.bincount(place, self.weight[post] * weight[spread], self.n * len(ids)).reshape(self.n, -1)
+        met = np.bincount(place, minlength=self.n * len(ids)).reshape(self.n, -1) > 0
+        out[met] = score[met]
+        return out
+
+
+def dense_topn(queries: DataFrame, chunks: DataFrame, n: int = PREFETCH) -> DataFrame:
+    """(query_id, subject, chunk_id, score, rank): the chunks nearest by the cosine of the stored vectors, exactly.
+
+    queries: query_id, subject, dense (see with_vectors()); chunks: subject, chunk_id, dense. Queries, a
+    stated set that is small beside the chunks, go to the workers in blocks of BLOCK; a worker scores a batch of
+    chunks against a block with one matrix product. Chunks without a vector are left out; vectors of zeros
+    score 0; vectors of another size than the queries' are an error.
+    """
+    return _ranked(_best_of_tasks(queries.select("query_id", "subject", "dense"), chunks.where("dense is not null").select("subject", "chunk_id", "dense"), n, _Cosine), n)
 
 
-def _dense_block(rows: list[tuple], chunks: DataFrame, n: int, dim: int, kind: str) -> DataFrame:
-    pools: dict[str, list[int]] = {}
-    for i, r in enumerate(rows):
-        pools.setdefault(r[1], []).append(i)
-    counts = HashingEncoder(dim).counts([r[2] for r in rows])
-    shared = chunks.sparkSession.sparkContext.broadcast((pools, counts, [r[0] for r in rows]))
+def sparse_topn(queries: DataFrame, chunks: DataFrame, n: int = PREFETCH) -> DataFrame:
+    """(query_id, subject, chunk_id, score, rank): the chunks with the greatest dot product of the stored sparse vectors, exactly.
+
+    queries: query_id, subject, sparse; chunks: subject, chunk_id, sparse. Chunks that share no term with a
+    query have no score. Scores are summed where the chunks are: no term, however common, is shuffled.
+    """
+    rows = chunks.where("sparse is not null").select("subject", "chunk_id", F.map_keys("sparse").alias("tokens"), F.map_values("sparse").alias("weights"))
+    return _ranked(_best_of_tasks(queries.select("query_id", "subject", "sparse"), rows, n, _Dot), n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pools, counts, ids = shared.value
-        model = HashingEncoder(dim)
-        sizes = np.sqrt((counts * counts).sum(axis=1))
-        for batch in batches:
-            subject = np.array(batch.column(0).to_pylist(), object)
-            out: list[tuple] = []
-            for s in set(subject.tolist()) & pools.keys():
-                at, q = np.flatnonzero(subject == s), pools[s]
-                ids_here = batch.column(1).take(pa.array(at)).to_pylist()
-                own = model.counts(batch.column(2).take(pa.array(at)).to_pylist())
-                size = np.sqrt((own * own).sum(axis=1))
-                score = (counts[q] @ own.T) / np.maximum(sizes[q][:, None] * size[None, :], 1e-300)
-                score = np.round(score, 9)
-                for k, i in enumerate(q):
-                    least = np.partition(score[k], -n)[-n] if len(at) > n else -1.0
-                    out += [(ids[i], s, ids_here[j], float(score[k][j])) for j in np.flatnonzero(score[k] >= least)]  # ties are kept; ranking cuts them
-            if out:
-                yield pa.RecordBatch.from_pydict({c: [x[i] for x in out] for i, c in enumerate(("query_id", "subject", "chunk_id", "score"))})
 
-    return chunks.select("subject", "chunk_id", "text").mapInArrow(run, f"query_id {kind}, subject string, chunk_id string, score double")
+def _alone(queries: list) -> _Cosine:
+    return _Cosine(queries, alone=True)
 
 
 def vector_topn(probes: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """(probe_id, vec_id, score, rank): the n nearest vectors of each probe by cosine, itself left out.
 
-    probes and vectors: vec_id, embedding. Probes are a stated set and go to the workers in one block
-    of BLOCK at most; zero vectors score 0; a null vector is left out.
+    probes and vectors: vec_id, embedding. Probes are a stated set and go to the workers in blocks of BLOCK;
+    zero vectors score 0; a null vector is left out.
     """
-    rows = sorted((r[0], list(map(float, r[1]))) for r in probes.where("embedding is not null").select("vec_id", "embedding").collect())
-    found = None
-    for b in range(0, max(1, len(rows)), BLOCK):
-        part = rows[b : b + BLOCK]
-        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part] or np.zeros((0, 1)), np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            if not len(ids):
-                return
-            unit = lambda m: m / np.where((k := np.sqrt((m * m).sum(axis=1, keepdims=True))) == 0, 1, k)
-            for batch in batches:
-                own = np.array(batch.column(0).to_pylist())
-                score = np.round(unit(q) @ unit(np.array(batch.column(1).to_pylist(), np.float64)).T, 9)
-                for i, p in enumerate(ids):
-                    s = np.where(own == p, -np.inf, score[i])
-                    least = max(np.partition(s, -n)[-n] if len(s) > n else -np.inf, -2.0)
-                    at = np.flatnonzero(s >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p)), pa.array(own[at]), pa.array(s[at])], names=["probe_id", "vec_id", "score"])
-
-        one = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, "probe_id bigint, vec_id bigint, score double")
-        found = one if found is None else found.unionByName(one)
-    w = Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    asked = probes.where("embedding is not null").select(F.col("vec_id").alias("query_id"), F.lit("").alias("subject"), F.col("embedding").alias("dense"))
+    rows = vectors.where("embedding is not null").select(F.lit("").alias("subject"), F.col("vec_id").alias("chunk_id"), "embedding")
+    found = _ranked(_best_of_tasks(asked, rows, n, _alone), n)
+    return found.select(F.col("query_id").alias("probe_id"), F.col("chunk_id").alias("vec_id"), "score", "rank")
 
 
 def rrf(channels: list[DataFrame], limit: int | None = None, constant: int = RRF) -> DataFrame:
@@ -210,14 +279,41 @@ def overlap_score(query, text):
     return F.round(F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1)) - 0.5, 9)
 
 
-def reranked(candidates: DataFrame, enabled: bool = True) -> DataFrame:
-    """The k best candidates of each query by the reranker, or by fusion if it is off; equal scores keep their order.
+def scored(candidates: DataFrame, backend: str | None = "overlap", **options) -> DataFrame:
+    """candidates with score: the reranker's of each query and text, or the fusion's if backend is None.
+
+    candidates: query_id, query, text, rrf. `overlap` is scored without leaving the JVM; other rerankers
+    get the texts of one query together, as they come in a batch; a null text is an empty one.
+    """
+    if backend is None:
+        return candidates.withColumn("score", F.coalesce("rrf", F.lit(0.0)))
+    if backend == "overlap":
+        return candidates.withColumn("score", overlap_score(F.col("query"), F.col("text")))
+    reranker(backend)  # an unknown one is an error here, not in a worker
+    names = [c for c in candidates.columns if c != "score"]
+    q, t = names.index("query"), names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = reranker(backend)(**options)
+        for batch in batches:
+            queries, texts = (batch.column(i).to_pylist() for i in (q, t))
+            score = np.zeros(len(queries))
+            for x in dict.fromkeys(queries):
+                own = [i for i, y in enumerate(queries) if y == x]
+                score[own] = model.score(x or "", [texts[i] or "" for i in own])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, "score"])
+
+    fields = ", ".join(f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in names)
+    return candidates.select(*names).mapInArrow(run, f"{fields}, score double")
+
+
+def reranked(candidates: DataFrame, backend: str | None = "overlap", **options) -> DataFrame:
+    """The k best candidates of each query by the reranker, or by fusion if it is None; equal scores keep their order.
 
     candidates: query_id, query, k, chunk_id, text, rrf, pos.
     """
-    score = overlap_score(F.col("query"), F.col("text")) if enabled else F.coalesce("rrf", F.lit(0.0))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos")
-    return candidates.withColumn("score", score).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("k"))
+    return scored(candidates, backend, **options).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("k"))
 
 
 def retrieved(requests: DataFrame, chunks: DataFrame, prefetch: int = PREFETCH, one: int = TOP_N, many: int = MULTI_TOP_N, channels: list[DataFrame] | None = None) -> DataFrame:
@@ -233,12 +329,12 @@ def retrieved(requests: DataFrame, chunks: DataFrame, prefetch: int = PREFETCH,
     return interleaved(pools.where(F.col("pool_rank") <= F.when(F.col("n_pools") > 1, many).otherwise(one)), one, many)
 
 
-def search(requests: DataFrame, chunks: DataFrame, rerank: bool = True, **depths: int) -> DataFrame:
+def search(requests: DataFrame, chunks: DataFrame, rerank: str | None = "overlap", rerank_options: dict | None = None, **depths: int) -> DataFrame:
     """(query_id, place, score, subject, source_path, section, last_updated, doc_id, chunk_id, snippet, text) of the k best.
 
-    requests: of resolved(). chunks: one row a chunk_id with subject, doc_id, text and what is cited. A
-    subject without chunks gives nothing; a query without candidates has no rows.
+    requests: of resolved(), with_vectors(). chunks: one row a chunk_id with subject, doc_id, text, dense, sparse and
+    what is cited. A subject without chunks gives nothing; a query without candidates has no rows.
     """
     payload = chunks.select("subject", "chunk_id", "doc_id", "source_path", F.col("section_path").alias("section"), "last_updated", "text")
-    found = reranked(retrieved(requests, chunks, **depths).join(payload, ["subject", "chunk_id"]), rerank)
+    found = reranked(retrieved(requests, chunks, **depths).join(payload, ["subject", "chunk_id"]), rerank, **(rerank_options or {}))
     return found.select("query_id", "place", "score", "subject", "source_path", "section", "last_updated", "doc_id", "chunk_id", snippet(F.col("text")).alias("snippet"), "text")

@@ -73,7 +73,8 @@ class Searcher:
         rows = [(0, s.name, i, len(pools), query, k) for i, s in enumerate(pools)]
         asked = self.spark.createDataFrame(rows, "query_id bigint, subject string, pool_no int, n_pools bigint, query string, k int")
         c = self.cfg.search
-        found = retrieval.search(asked, self.store.points([s.name for s in pools]), c.rerank, prefetch=c.prefetch, one=c.top_n, many=c.multi_top_n)
+        asked = retrieval.with_vectors(asked, self.cfg.encoder, **self.cfg.encoder_options)
+        found = retrieval.search(asked, self.store.points([s.name for s in pools]), c.reranker if c.rerank else None, c.reranker_options, prefetch=c.prefetch, one=c.top_n, many=c.multi_top_n)
         return [{x: r[x] for x in r.asDict() if x not in ("query_id", "place")} for r in found.orderBy("place").collect()]
 
     def instructions(self) -> str:

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusspark.functions.scalars import quantized, rank_display
-from corpusspark.operators import evaluation, retrieval, sync
-from corpusspark.tables import table, written
+from corpusspark.operators import encoding, evaluation, retrieval, sync
+from corpusspark.tables import file_states, shared_dir, table, written
 
 #: Depth of the evaluation's retrieval, and how many answers are gold.
 DEPTH, GOLD = 60, 10
-SIZES = [8, 16, 24, 30]
+SIZES = [8, 16, 24, 32]
+#: The encoder's plain counts, which SQL can follow to the last digit.
+ENCODER = {"backend": "hashing", "unit": False}
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, name: str, tables: list[DataFrame], made: Callable[[], DataFrame]) -> DataFrame:
+    """A written table that is made once in a session for the files that the tables have."""
+    files = sorted({p for t in tables for p in t.inputFiles()})
+    key = (name, spark.sparkContext.applicationId, shared_dir(spark), *file_states(spark, files))
+    if key not in _kept:
+        _kept[key] = written(made(), name)
+    return _kept[key]
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return sync.latest_staged(table(spark, d, "staged_chunks"))
+    """The store that is searched: one row a chunk with its vectors, encoded once."""
+    staged = table(spark, d, "staged_chunks")
+    return _once(spark, "chunks", [staged], lambda: encoding.encoded(sync.latest_staged(staged), **ENCODER))
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "search_requests").where("request_id % 50 = 0")
-    return retrieval.resolved(asked, table(spark, d, "subjects"))
+    """The resolved requests with their vectors."""
+    requests, subjects = table(spark, d, "search_requests"), table(spark, d, "subjects")
+    return _once(spark, "requests", [requests, subjects], lambda: retrieval.with_vectors(retrieval.resolved(requests.where("request_id % 50 = 0"), subjects), **ENCODER))
 
 
 def _channels(spark: SparkSession, d: str, n: int = retrieval.PREFETCH) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +81,7 @@ def interleaved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str, rerank: bool) -> DataFrame:
-    return retrieval.search(_requests(spark, d), _chunks(spark, d), rerank).withColumn("place", F.col("place").cast("bigint"))
+    return retrieval.search(_requests(spark, d), _chunks(spark, d), "overlap" if rerank else None).withColumn("place", F.col("place").cast("bigint"))
 
 
 def search_results(spark: SparkSession, d: str) -> DataFrame:
@@ -90,12 +107,12 @@ def recall_topn(spark: SparkSession, d: str) -> DataFrame:
 
 def deepest_rank(spark: SparkSession, d: str) -> DataFrame:
     """How deep the retrieval must go for each request's answer."""
-    best = retrieval.reranked(_deep(spark, d).select("query_id", "chunk_id", "pos", F.col("score").alias("rrf"), F.lit(retrieval.DEFAULT_K).alias("k")), enabled=False)
+    best = retrieval.reranked(_deep(spark, d).select("query_id", "chunk_id", "pos", F.col("score").alias("rrf"), F.lit(retrieval.DEFAULT_K).alias("k")), None)
     return best.groupBy("query_id").agg(F.max("pos").cast("bigint").alias("deepest"))
 
 
 def _gold(deep: DataFrame) -> DataFrame:
-    best = retrieval.reranked(deep.where("score > 0").select("query_id", "chunk_id", "pos", F.col("score").alias("rrf"), F.lit(GOLD).alias("k")), enabled=False)
+    best = retrieval.reranked(deep.where("score > 0").select("query_id", "chunk_id", "pos", F.col("score").alias("rrf"), F.lit(GOLD).alias("k")), None)
     return best.select("query_id", "chunk_id")
 
 
@@ -185,6 +202,8 @@ qn as (select query_id, subject, token, count(*)::double as w from qt group by a
 cn as (select subject, chunk_id, token, count(*)::double as w from ct group by all),
 qb as (select query_id, subject, ('0x' || substr(md5(token), 1, 8))::ubigint % 256 as b, sum(w) as w from qn group by all),
 cb as (select subject, chunk_id, ('0x' || substr(md5(token), 1, 8))::ubigint % 256 as b, sum(w) as w from cn group by all),
+qt1 as (select query_id, subject, ('0x' || substr(md5(token), 1, 8))::ubigint % 1048576 as b, max(w) as w from qn group by all),
+ct1 as (select subject, chunk_id, ('0x' || substr(md5(token), 1, 8))::ubigint % 1048576 as b, max(w) as w from cn group by all),
 qs as (select query_id, subject, sqrt(sum(w * w)) as s from qb group by all),
 cs as (select chunk_id, sqrt(sum(w * w)) as s from cb group by all),
 dots as (select q.query_id, q.subject, c.chunk_id, sum(q.w * c.w) as dot from qb q join cb c on q.subject = c.subject and q.b = c.b group by all),
@@ -198,7 +217,7 @@ dense as (
 sparse as (
   select * from (
     select query_id, subject, chunk_id, score, row_number() over (partition by query_id, subject order by score desc, chunk_id) as rank
-    from (select q.query_id, q.subject, c.chunk_id, sum(q.w * c.w) as score from qn q join cn c on q.subject = c.subject and q.token = c.token group by all))
+    from (select q.query_id, q.subject, c.chunk_id, sum(q.w * c.w) as score from qt1 q join ct1 c on q.subject = c.subject and q.b = c.b group by all))
   where rank <= PREFETCH)""".replace("PREFETCH", "{prefetch}")
 _FUSED = """
 both_channels as (select query_id, subject, chunk_id, rank from dense union all select query_id, subject, chunk_id, rank from sparse),
@@ -259,10 +278,10 @@ select * from r where reason is not null""",
 select query_id, place, overlap as score, subject, source_path, section_path as section, last_updated, doc_id, chunk_id, substr(text, 1, 320) as snippet, text from best where place <= k""",
     "fusion_fallback": f"""with {_mixed(30, 60)}, best as (select *, row_number() over (partition by query_id order by rrf desc, pos) as place from judged)
 select query_id, place, rrf as score, chunk_id from best where place <= k""",
-    "recall_topn": f"""with {_DEEP}, sizes as (select unnest([8, 16, 24, 30]) as top_n),
+    "recall_topn": f"""with {_DEEP}, sizes as (select unnest([8, 16, 24, 32]) as top_n),
 best as (select * from (select s.top_n, d.*, row_number() over (partition by s.top_n, d.query_id order by d.score desc, d.pos) as r from deep d join sizes s on d.pos <= s.top_n) where r <= 6),
 ids as (select top_n, query_id, list(chunk_id order by r) as ids, coalesce(list(chunk_id order by r) filter (score > 0), []) as positive from best group by all),
-both_ids as (select i.top_n, i.ids, b.ids as base, b.positive from ids i join ids b on b.top_n = 30 and b.query_id = i.query_id),
+both_ids as (select i.top_n, i.ids, b.ids as base, b.positive from ids i join ids b on b.top_n = 32 and b.query_id = i.query_id),
 m as (select top_n, ids[1:3] = base[1:3] as same, len(list_intersect(ids, base)) as common, len(list_distinct(list_concat(ids, base))) as every, len(base) as n, len(positive) - len(list_intersect(positive, ids)) as lost from both_ids)
 select top_n::bigint as top_n, count(*) as queries, count(*) filter (same) as same_top, round(min(common / every), 6) as min_jaccard, round(avg(common / every), 6) as mean_jaccard, count(*) filter (common = n) as lossless,
   sum(lost)::bigint as lost_positives, count(*) filter (lost > 0) as queries_with_loss from m group by top_n""",

@@ -122,3 +122,13 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; an absent folder is empty."""
     fs, p = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def file_states(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of the last change) of files."""
+    found = []
+    for path in sorted(paths):
+        fs, p = _fs(spark, path)
+        at = fs.getFileStatus(p)
+        found.append((path, at.getLen(), at.getModificationTime()))
+    return found

@@ -22,7 +22,8 @@ def world(spark):
     asked = [(1, "a", "word1 word2 word2", 3, None), (2, " ALL ", "word3 word4", None, None), (3, "nobody", "word1", 1, None), (4, "a", "  ", 1, None), (5, None, "word1", 1, None), (6, "b", "zzz", 2, None), (7, "c", "word1", 2, None), (8, "a", "word1", -1, None), (1, "a", "word1 word2 word2", 3, None)]
     subjects = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
     requests = spark.createDataFrame(asked, REQ)
-    return spark.createDataFrame(chunks, CHUNK), retrieval.resolved(requests, subjects), retrieval.unresolved(requests, subjects), chunks
+    stored = encoding.encoded(spark.createDataFrame(chunks, CHUNK), unit=False).cache()
+    return stored, retrieval.with_vectors(retrieval.resolved(requests, subjects), unit=False), retrieval.unresolved(requests, subjects), chunks
 
 
 def _brute(chunks, pools, query, k, rerank, prefetch=50, one=30, many=60):
@@ -46,7 +47,7 @@ def _brute(chunks, pools, query, k, rerank, prefetch=50, one=30, many=60):
     return [(value(x), x[1]) for x in sorted(mixed, key=lambda x: -value(x))[:k]]
 
 
-@pytest.mark.parametrize("rerank", [True, False])
+@pytest.mark.parametrize("rerank", ["overlap", None])
 def test_search_equals_brute_force(world, rerank):
     chunks, resolved, _, data = world
     found = {}
@@ -79,7 +80,7 @@ def test_interleaving_is_fair_and_capped(spark):
 def test_ties_keep_the_candidates_order(spark):
     df = spark.createDataFrame([(1, "x", 2, "b", "x y", 0.5, 2), (1, "x", 2, "a", "y x", 0.1, 3), (1, "x", 2, "c", "x", None, 1)], "query_id int, query string, k int, chunk_id string, text string, rrf double, pos int")
     assert [r.chunk_id for r in retrieval.reranked(df).orderBy("place").collect()] == ["c", "b"]
-    assert [r.chunk_id for r in retrieval.reranked(df, False).orderBy("place").collect()] == ["b", "a"]
+    assert [r.chunk_id for r in retrieval.reranked(df, None).orderBy("place").collect()] == ["b", "a"]
 
 
 def test_vectors_nearest(spark):
@@ -111,6 +112,47 @@ def test_encoders(spark):
     assert d.tolist() == [[0.6, 0.8]] and s == [{5: 1.5}]
 
 
+def test_another_encoder_changes_what_is_found(spark):
+    data = [("a", "1", "d", None, None, None, "alpha beta"), ("a", "2", "d", None, None, None, "ant bee"), ("a", "3", "d", None, None, None, "xray yoke")]
+    asked = spark.createDataFrame([(1, "a", 0, 1, "apple ball", 3)], "query_id bigint, subject string, pool_no int, n_pools bigint, query string, k int")
+    found = {}
+    for backend in ("hashing", "tests.plugins:FirstLetters"):
+        chunks = encoding.encoded(spark.createDataFrame(data, CHUNK), backend)
+        q = retrieval.with_vectors(asked, backend)
+        found[backend] = [(r.chunk_id, r.score) for r in retrieval.dense_topn(q, chunks, 2).orderBy("rank").collect()], sorted(r.chunk_id for r in retrieval.sparse_topn(q, chunks, 9).collect())
+    assert found["tests.plugins:FirstLetters"] == ([("1", 1.0), ("2", 1.0)], ["1", "2"]) and found["hashing"][1] == []
+    with pytest.raises(Exception, match="26 dimensions"):
+        retrieval.dense_topn(retrieval.with_vectors(asked, "tests.plugins:FirstLetters"), encoding.encoded(spark.createDataFrame(data, CHUNK)), 2).collect()
+
+
+def test_a_reranker_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "x", 2, "b", "long text", 0.5, 1), (1, "x", 2, "a", "t", 0.1, 2), (1, "x", 2, "c", None, None, 3), (2, "y", 1, "d", "text", 0.2, 1)], "query_id int, query string, k int, chunk_id string, text string, rrf double, pos int")
+    found = retrieval.reranked(df, "tests.plugins:Shortest", bonus=2.0).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.chunk_id, r.score) for r in found] == [(1, "c", 2.0), (1, "a", 1.0), (2, "d", -2.0)]
+    with pytest.raises(ValueError, match="unknown reranker"):
+        retrieval.reranked(df, "none")
+
+
+def test_few_rows_leave_a_task(spark):
+    q = spark.createDataFrame([(i, "s", [1.0, float(i)], {1: 1.0}) for i in range(3)], "query_id bigint, subject string, dense array<float>, sparse map<bigint,double>")
+    c = spark.range(5000).selectExpr("'s' as subject", "cast(id as string) as chunk_id", "array(cast(1 as float), cast(id % 7 as float)) as dense", "map(id % 3, cast(id % 11 as double)) as sparse").repartition(3)
+    rows_ = c.select("subject", "chunk_id", "dense")
+    assert retrieval._best_of_tasks(q.select("query_id", "subject", "dense"), rows_, 5, retrieval._Cosine).count() <= 3 * 3 * 5
+    want = sorted((-float(i % 11), str(i)) for i in range(5000) if i % 3 == 1)[:5]
+    assert [(-r.score, r.chunk_id) for r in retrieval.sparse_topn(q.where("query_id = 1"), c, 5).orderBy("rank").collect()] == want
+
+
+def test_model_folders_must_be_whole(tmp_path):
+    pytest.importorskip("onnxruntime")
+    names = ["model.int8.onnx", "tokenizer.json", "sparse_linear.npz"]
+    for n in names:
+        with pytest.raises(FileNotFoundError, match=n.replace(".", r"\.")):
+            encoding.encoder("onnx", folder=str(tmp_path))
+        (tmp_path / n).write_text("{}")
+    with pytest.raises(FileNotFoundError):
+        encoding.reranker("onnx")(folder=str(tmp_path), int8=False)
+
+
 def test_measures(spark):
     lat = spark.createDataFrame([("a", float(x)) for x in range(1, 21)] + [("b", 5.0), ("b", None)], "stage string, ms double")
     assert rows(evaluation.latency(lat, "stage", "ms")) == [("a", 20, 1.0, 10.5, 10.5, 19.0, 20.0), ("b", 1, 5.0, 5.0, 5.0, 5.0, 5.0)]
