@@ -4,8 +4,9 @@ Passages of documents are windows of `span` consecutive words. For verbatim leak
 in evaluation passages; for paraphrases so many as a paraphrase has in common with its passage, and
 the other words stand for one unknown term without weight. A window that cannot be either is read but
 not kept. Windows are TF-IDF vectors over the evaluation vocabulary, with document frequencies of all
-documents, and are compared in the space of a randomised SVD of the windows kept. Equal windows have
-equal vectors, so no verbatim run of `span` words can be missed.
+documents, and are compared in the space of a randomised SVD of windows. There, the items' windows are in
+lists around centres, and a document's window is compared with the lists whose centres are nearest. Equal windows
+have equal vectors and so the same nearest centres: no verbatim run of `span` words can be missed.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ SPAN = 10
 RANK, EXTRA, ROUNDS = 64, 16, 1
 #: Cosine in the latent space from which a window is a candidate.
 COSINE = 0.8
-#: Evaluation items handled at once; more are handled slice by slice, so that what workers hold is bounded.
-ITEMS_AT_ONCE = 20_000
+#: Windows of evaluation items handled at once (some 80 MB to each worker); more are handled slice by slice of the items.
+WINDOWS_AT_ONCE = 1 << 18
+#: Windows of documents, chosen by hash, that the SVD is made of, besides all those of the items.
+FITTED = 200_000
+#: Windows of items in one list of the index, and lists that a window is compared with. Fewer than so many lists are all searched.
+LIST, PROBES = 128, 16
 #: A paraphrase has so many words of the passage's window in the same order, and so many of its rarest three.
 LEAST_COMMON, LEAST_ANSWERS = 7, 2
 #: Windows of documents that a worker compares at once; bounds its memory, not its result.
-AT_ONCE = 1024
+AT_ONCE = 4096
 #: Fixed: the random projection is the same in every run.
 SEED = 20240304
 
@@ -181,8 +186,17 @@ def _scattered(windows: np.ndarray, idf: np.ndarray, norms: np.ndarray, y: np.nd
     return out
 
 
+def sampled(runs: DataFrame, span: int, most: int = FITTED) -> DataFrame:
+    """The runs whose hash is low enough that they have some `most` windows; all, if there are no more."""
+    total = runs.agg(F.sum(F.size("run") - span + 1)).first()[0] or 0
+    if total <= most:
+        return runs.select("run")
+    share = F.pmod(F.xxhash64("doc_id", "run"), F.lit(1 << 30)) < int(most / total * (1 << 30))
+    return written(runs.where(share).select("run").coalesce(16), "p7-fitted")
+
+
 def latent_basis(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, span: int, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of the TF-IDF matrix of all windows, documents' and items', by a randomised SVD.
+    """Right singular vectors of the TF-IDF matrix of the runs' windows and all the items', by a randomised SVD.
 
     The matrix stays distributed: each pass multiplies a task's rows with a thin matrix and back, and
     sums the products over tasks. Only those, of the vocabulary's size times rank + EXTRA, reach the driver.
@@ -228,34 +242,85 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return last[span]
 
 
-def _search(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, basis: np.ndarray, span: int, cosine: float) -> DataFrame:
+@dataclass
+class Index:
+    """Unit vectors in lists around centres; vectors are in the order of their lists."""
+
+    centres: np.ndarray
+    starts: np.ndarray
+    order: np.ndarray
+    vectors: np.ndarray
+
+    @staticmethod
+    def of(vectors: np.ndarray, size: int = LIST, rounds: int = 4) -> Index:
+        """Every vector is in the list of its nearest centre; centres are fitted on 32 vectors each, evenly chosen."""
+        n = max(1, len(vectors) // size)
+        fitted = vectors[np.unique(np.linspace(0, len(vectors) - 1, min(len(vectors), 32 * n)).astype(np.int64))]
+        centres = fitted[np.linspace(0, len(fitted) - 1, n).astype(np.int64)]
+        for _ in range(rounds if n > 1 else 0):
+            near = np.argmax(fitted @ centres.T, axis=1)
+            total = np.zeros_like(centres)
+            np.add.at(total, near, fitted)
+            length = np.linalg.norm(total, axis=1, keepdims=True)
+            centres = np.where(length > 1e-9, total / np.maximum(length, 1e-9), centres)
+        near = np.concatenate([np.argmax(vectors[i : i + 8192] @ centres.T, axis=1) for i in range(0, len(vectors), 8192)])
+        order = np.argsort(near, kind="stable")
+        return Index(centres, np.searchsorted(near[order], np.arange(n + 1)), order, vectors[order])
+
+    def search(self, x: np.ndarray, least: float, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of x, vector, cosine) from that cosine on, in the lists of each row's nearest centres."""
+        found: list[tuple] = []
+        near = x @ self.centres.T
+        probes = min(probes, len(self.centres))
+        lists = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < len(self.centres) else np.tile(np.arange(probes), (len(x), 1))
+        rows = np.repeat(np.arange(len(x)), probes)
+        by_list = np.argsort(lists.reshape(-1), kind="stable")
+        edges = np.searchsorted(lists.reshape(-1)[by_list], np.arange(len(self.centres) + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            own = rows[by_list[edges[k] : edges[k + 1]]]
+            a, e = self.starts[k], self.starts[k + 1]
+            score = x[own] @ self.vectors[a:e].T
+            i, j = np.nonzero(score >= least)
+            found.append((own[i], self.order[a + j], score[i, j]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
+def _unit(windows: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The windows' vectors in the latent space, of length 1."""
+    x = _projected(windows, idf, basis, _norms(windows, idf))
+    return (x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]).astype(np.float32)
+
+
+def _search(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, basis: np.ndarray, span: int, cosine: float, probes: int = PROBES) -> DataFrame:
     """(doc_id, item_id, verbatim, near, common, answers, cosine, windows) of the best candidate windows of each document and item; near ones come first after verbatim ones."""
-    norms = _norms(evaluation.windows, idf)
-    latent = _projected(evaluation.windows, idf, basis, norms)
-    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]).astype(np.float32)
-    answers = _answers(evaluation.windows, idf)
-    shared = runs.sparkSession.sparkContext.broadcast((idf, basis, latent, evaluation.windows, evaluation.items, answers))
+    # a window that several items or places share is in the index once
+    own_windows, which = np.unique(evaluation.windows, axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    index = Index.of(_unit(own_windows, idf, basis))
+    pairs = np.unique(np.stack([which, evaluation.items], axis=1), axis=0)
+    item_starts = np.searchsorted(pairs[:, 0], np.arange(len(own_windows) + 1))
+    answers = _answers(own_windows, idf)
+    shared = runs.sparkSession.sparkContext.broadcast((idf, basis, index, own_windows, item_starts, pairs[:, 1], answers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, latent, own, items, answers = shared.value
+        idf, basis, index, own, item_starts, items, answers = shared.value
         for batch in batches:
             row, w = _windows(batch.column(1), span)
             docs = batch.column(0).to_numpy(zero_copy_only=False)[row]
             for at in range(0, len(w), AT_ONCE):
                 own_w = w[at : at + AT_ONCE]
-                norms = _norms(own_w, idf)
-                x = _projected(own_w, idf, basis, norms)
-                x = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]).astype(np.float32)
-                score = x @ latent.T
-                i, j = np.nonzero(score >= cosine)
+                i, j, score = index.search(_unit(own_w, idf, basis), cosine, probes)
                 if not len(i):
                     continue
-                score = score[i, j]
                 verbatim = (own_w[i] == own[j]).all(axis=1)
                 common = _common(own_w[i], own[j])
                 held = (answers[j][:, :, None] == own_w[i][:, None, :]).any(axis=2).sum(axis=1)
-                doc, item = docs[at + i], items[j]
                 near = (common >= LEAST_COMMON) & (held >= LEAST_ANSWERS)  # of one and the same window
+                n = np.diff(item_starts)[j]
+                spread = np.repeat(np.arange(len(i)), n)
+                item = items[np.repeat(item_starts[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                i, score, verbatim, common, held, near = (c[spread] for c in (i, score, verbatim, common, held, near))
+                doc = docs[at + i]
                 order = np.lexsort((score, held, common, near, verbatim, item, doc))
                 last = np.flatnonzero(np.append((doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1]), True))
                 best = order[last]
@@ -266,7 +331,7 @@ def _search(runs: DataFrame, evaluation: Evaluation, idf: np.ndarray, basis: np.
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("r"), F.sum("windows").alias("windows")).select("doc_id", "item_id", "r.*", "windows")
 
 
-def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, rank: int = RANK, at_once: int = ITEMS_AT_ONCE, known: int | None = None) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, rank: int = RANK, at_once: int = WINDOWS_AT_ONCE, known: int | None = None) -> DataFrame:
     """(doc_id, item_id, verbatim, near, common, answers, cosine, windows): documents with windows like an item's.
 
     docs: doc_id, text; items: item_id, passage. verbatim: at least span consecutive words of the
@@ -274,12 +339,14 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = C
     (of the window's three rarest words) of the best window tell how near it comes; near: some window
     has LEAST_COMMON and LEAST_ANSWERS of them at once, and the best is the best of such windows. Null, empty and
     short texts and passages have no windows; passages that share a stretch are all named; repeated
-    documents give one row. Items beyond at_once are searched slice by slice, each over all documents.
+    documents give one row. Items with more than at_once windows together are searched slice by slice, each over
+    all documents. Every verbatim leak is found; of the others those in the lists searched, see Index.
     known: windows need so many words that any passage has, all span by default; if it is less, only
     windows with at least two rarest words of some passage's window are kept, as paraphrases have them.
     """
-    ids = items.select("item_id").where("item_id is not null").distinct()
-    slices = max(1, -(-ids.count() // at_once))
+    words = F.size(F.regexp_extract_all(F.lower("passage"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    total = items.where("item_id is not null").select("item_id", "passage").distinct().agg(F.sum(words)).first()[0] or 0
+    slices = max(1, -(-total // at_once))
     found, known = None, span if known is None else known
     for k in range(slices):
         part = items.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k))
@@ -296,7 +363,7 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = C
         if known < span:
             runs = _screened(runs, evaluation, idf, span, known)
             idf = np.append(idf, 0.0)  # the unknown term
-        one = _search(runs, evaluation, idf, latent_basis(runs, evaluation, idf, span, rank), span, cosine)
+        one = _search(runs, evaluation, idf, latent_basis(sampled(runs, span), evaluation, idf, span, rank), span, cosine)
         found = one if found is None else found.unionByName(one)
     empty = "doc_id bigint, item_id bigint, verbatim boolean, near boolean, common int, answers int, cosine double, windows bigint"
     cols = ["doc_id", "item_id", "verbatim", "near", "common", "answers", "cosine", "windows"]

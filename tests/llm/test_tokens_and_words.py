@@ -170,7 +170,7 @@ def _leak_world(seed=3):
     return docs + [(100, None), (101, ""), (102, " ".join(items[5][1] * 30)), (0, docs[0][1])], [(i, " ".join(p)) for i, p in items] + [(60, None), (61, ""), (None, "x")]
 
 
-@pytest.mark.parametrize("at_once", [20_000, 4])
+@pytest.mark.parametrize("at_once", [1 << 18, 100])
 def test_leaks_equal_brute_force(spark, at_once):
     docs, items = _leak_world()
     grams = lambda t: {tuple(x) for w in [words_of(t or "")] for x in (w[i : i + 10] for i in range(len(w) - 9))}
@@ -218,6 +218,44 @@ def test_a_nearer_window_with_fewer_rare_words_hides_no_paraphrase(spark):
     assert rows(found) == [(1, 1, 7, 2), (2, 1, 7, 2)]
 
 
+def test_paraphrases_are_found_at_production_parameters(spark):
+    """Passages of which one word in eight is a new one, so that no ten words in a row are a passage's."""
+    r = random.Random(12)
+    common = ["the", "of", "a", "to", "is", "in", "for", "and", "that", "with"]
+    word = lambda: r.choice(common) if r.random() < 0.4 else f"term{r.randrange(4000)}"
+    items = [(i, [word() for _ in range(r.randrange(40, 90))]) for i in range(400)]
+    docs, want = [], set()
+    for i, p in items[:80]:
+        own = [f"fresh{r.randrange(10**6)}" if k % 8 == 3 else w for k, w in enumerate(p)]
+        docs.append((i, " ".join([word() for _ in range(60)] + own + [word() for _ in range(60)])))
+        want.add((i, i))
+    docs += [(1000 + k, " ".join(word() for _ in range(300))) for k in range(300)]
+    found = leakage.paraphrases(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id bigint, passage string"))
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert len({d for d, i in got if d >= 1000}) <= 6
+
+
+def test_index_finds_what_a_full_search_finds():
+    r = np.random.default_rng(5)
+    v = r.standard_normal((6000, 24))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    x = v[::7] + 0.1 * r.standard_normal((len(v[::7]), 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = leakage.Index.of(v)
+    i, j = np.nonzero(x @ v.T >= 0.8)
+    a, b, score = index.search(x, 0.8)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert found <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(found) >= 0.9 * len(i) and np.allclose(score, (x[a] * v[b]).sum(axis=1), atol=1e-5)
+    a, b, _ = index.search(v, 0.9999)  # a vector's own is never lost
+    assert set(zip(range(len(v)), range(len(v)), strict=True)) <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_a_sample_has_so_many_windows(spark):
+    runs = spark.createDataFrame([(i, list(range(i, i + 19))) for i in range(2000)], "doc_id bigint, run array<int>")
+    assert leakage.sampled(runs, 10, 10**6).count() == 2000 and 700 < leakage.sampled(runs, 10, 10_000).count() < 1300
+
+
 def test_svd_finds_the_space(spark):
     r = np.random.default_rng(0)
     ev = leakage.Evaluation.of([(i, " ".join(f"x{j}" for j in r.integers(0, 40, 30))) for i in range(6)], 10)
