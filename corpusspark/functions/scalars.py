@@ -168,3 +168,9 @@ def tokens(text: Column) -> Column:
 def bucket(token: Column, buckets: int) -> Column:
     """A token's hash bucket, the same in every system that has MD5."""
     return F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def rate_and_eta(done: Column, total: Column, seconds: Column) -> tuple[Column, Column]:
+    """(rows a second, seconds that are left); both null before anything is done."""
+    rate = F.when((done > 0) & (seconds > 0), F.round(done / seconds, 6))
+    return rate, F.round(F.greatest(total - done, F.lit(0)) / rate, 6)

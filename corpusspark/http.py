@@ -1,4 +1,4 @@
-"""Search over HTTP with the standard library: /healthz, /v1/subjects, /v1/search."""
+"""Search over HTTP with the standard library: /healthz, /v1/subjects, /v1/search, /mcp."""
 
 from __future__ import annotations
 
@@ -11,18 +11,21 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
 
+from corpusspark import mcp
 from corpusspark.config import Config
 from corpusspark.plans.pipeline import Searcher
 
 log = logging.getLogger(__name__)
 
 
-def answer(searcher: Searcher, method: str, path: str, body: bytes, token: str, given: str | None) -> tuple[int, dict]:
+def answer(searcher: Searcher, method: str, path: str, body: bytes, token: str, given: str | None) -> tuple[int, object]:
     """Status and JSON of a request. All but /healthz needs the bearer token; without a configured token nothing is let in."""
     if (method, path) == ("GET", "/healthz"):
         return 200, {"status": "ok"}
     if not token or not hmac.compare_digest((given or "").encode(), f"Bearer {token}".encode()):
         return 401, {"error": "unauthorized"}
+    if (method, path) == ("POST", "/mcp"):
+        return mcp.answer(searcher, body)
     if (method, path) == ("GET", "/v1/subjects"):
         return 200, {"subjects": searcher.list_subjects()}
     if (method, path) != ("POST", "/v1/search"):
@@ -49,7 +52,7 @@ def handler(searcher: Searcher, token: str) -> type[BaseHTTPRequestHandler]:
         def _reply(self, method: str) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             status, found = answer(searcher, method, self.path.split("?")[0], body, token, self.headers.get("Authorization"))
-            out = json.dumps(found).encode()
+            out = b"" if found is None else json.dumps(found).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
             self.send_header("Content-Length", str(len(out)))

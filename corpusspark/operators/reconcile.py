@@ -51,3 +51,21 @@ def flipped(mapping: DataFrame, old: int, new: int) -> DataFrame:
     """mapping with tag `old` taken from every object that had it and `new` given to it, once."""
     moved = mapping.where(F.col("systemtagid") == old).withColumn("systemtagid", F.lit(new).cast(mapping.schema["systemtagid"].dataType))
     return inserted(mapping, moved, ["objectid", "objecttype", "systemtagid"]).where(F.col("systemtagid") != old)
+
+
+def tag_id(tags: DataFrame, name: str) -> int | None:
+    """The id of the tag of that name, the least if there are several, or None."""
+    found = tags.where(F.col("name") == name).select("id").orderBy("id").limit(1).collect()
+    return found[0][0] if found else None
+
+
+def tag_counts(tags: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(name, objects) of every tag, those without objects too; an object counts once for a tag."""
+    n = mapping.select("systemtagid", "objectid", "objecttype").distinct().groupBy(F.col("systemtagid").alias("id")).agg(F.count(F.lit(1)).alias("objects"))
+    return tags.join(n, "id", "left").groupBy("name").agg(F.coalesce(F.sum("objects"), F.lit(0)).cast("bigint").alias("objects"))
+
+
+def orphan_counts(target: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(paths, kept, orphans): one row."""
+    found = target.select("path").distinct().join(orphans(target, wanted).withColumn("gone", F.lit(1)), "path", "left")
+    return found.agg(F.count(F.lit(1)).alias("paths"), F.count_if(F.col("gone").isNull()).alias("kept"), F.count_if(F.col("gone").isNotNull()).alias("orphans"))

@@ -41,6 +41,11 @@ def stats(found: DataFrame) -> DataFrame:
     return found.groupBy("subject").agg(*[n(s).alias(s) for s in ("new", "changed", "deleted", "unchanged")], (F.count_if(F.col("status") != "unchanged") == 0).alias("is_noop"))
 
 
+def all_noop(found: DataFrame) -> DataFrame:
+    """(all_noop) of stats() rows: one row, whether no subject has anything to do; true for none."""
+    return found.agg(F.coalesce(F.bool_and("is_noop"), F.lit(True)).alias("all_noop"))
+
+
 def upserted(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """table with rows put in: a row whose key is in the table replaces it. rows has one row a key."""
     kept = table.alias("t").join(rows.alias("r"), _on("t", "r", key), "left_anti")

@@ -6,6 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +66,32 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(run)
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end: for services and streams, whose driver does not end.
+
+    What is read from them must have been read, or written elsewhere, by then.
+    """
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name under the shared folder; it is removed when the driver ends."""
+    """A fresh folder name under the shared folder; it is removed at the end of the scratch() it is made in, else when the driver ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _remove_at_exit(spark, path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
+    else:
+        _remove_at_exit(spark, path)
     return path
 
 

@@ -75,3 +75,8 @@ def test_trees_take_what_is_broken():
     assert [n.text() for n in t.all("li")] == ["a", "b"] and [n.text() for n in t.all("td")] == ["1", "2", "3"]
     assert [n.text() for n in t.all("p")] == ["one", "two x123"] or [n.text() for n in t.all("p")][0] == "one"
     assert t.find("h2").text() == "cut" and parsed("").find("body") is None
+
+
+def test_rate_and_time_left(spark):
+    df = spark.createDataFrame([(10, 30, 5.0), (0, 30, 5.0), (30, 30, 3.0), (40, 30, 4.0)], "done int, total int, seconds double")
+    assert [tuple(r) for r in df.select(*S.rate_and_eta(df.done, df.total, df.seconds)).collect()] == [(2.0, 10.0), (None, None), (10.0, 0.0), (10.0, 0.0)]

@@ -163,7 +163,9 @@ def test_javadoc():
     assert converters.javadoc(MODERN) == "# com.acme.Svc\n\n```java\npublic class Svc\n```\n\nA service .\n\n## get\n\n```java\nint get()\n```\n\nGets.\n\n**Parameters**\n- `a` — first\n- `b`\n\n**Returns** it\n\n**Deprecated** soon\n"
     assert converters.javadoc(LEGACY) == "# com.old.Old\n\n```java\npublic interface Old\n```\n\nOlden.\n\n## go\n\n```java\nvoid go()\n```\n\nGoes.\n\n**Throws**\n- `E` — bad\n\n## stop\n\n```java\nvoid stop()\n```\n"
     assert converters.javadoc(PACKAGE) == "# Package com.acme\n\nAll.\n\n**Contents**\n- `Svc` — Serves\n- `Two`\n"
-    assert converters.javadoc(OLD_PACKAGE) == "# Package com.old\n\nOlden\n\n**Contents**\n- `Old` — Olden\n"
+    assert converters.javadoc(OLD_PACKAGE) == "# Package com.old\n\n**Contents**\n- `Old` — Olden\n"  # a class's words are not the package's
+    described = OLD_PACKAGE.replace("<table", "<div class='contentContainer'><div class='block'>All old.</div></div><table", 1)
+    assert converters.javadoc(described) == "# Package com.old\n\nAll old.\n\n**Contents**\n- `Old` — Olden\n"
     assert converters.javadoc("<body><h2 class='title'>Index</h2>") is None and converters.javadoc("") is None
 
 
@@ -173,6 +175,8 @@ def test_page_frames(spark):
     java = spark.createDataFrame([("m2/Svc.html", MODERN.encode()), ("m1/Svc.html", MODERN.encode()), ("m1/nav.html", b"<body></body>")], "path string, content binary")
     assert rows(converters.convert_javadoc(java), "path") == [("m1/Svc.md",)]
     assert converters.convert_javadoc(java.limit(0)).count() == 0
+    assert rows(converters.conversion_counts(converters.javadoc_pages(java))) == [(1, 1, 1, 0)] and rows(converters.conversion_counts(converters.doxygen_pages(pages))) == [(1, 3, 0, 0)]
+    assert rows(converters.conversion_counts(converters.doxygen_pages(pages.limit(0)))) == [(0, 0, 0, 0)]
 
 
 WSDL = """<definitions xmlns="http://schemas.xmlsoap.org/wsdl/" xmlns:soap="http://schemas.xmlsoap.org/wsdl/soap/" xmlns:t="urn:acme.com/t" targetNamespace="urn:acme.com/t">
@@ -196,25 +200,198 @@ def test_service_descriptions(spark):
     assert rows(converters.message_fields(parts, fields), "operation", "direction", "element", "field", "occurs") == [("find", "request", "t:Ask", "id", ""), ("find", "request", "t:Ask", "tag", " [0..unbounded]"), ("find", "response", "t:Gone", None, None), ("ping", "request", None, None, None), ("ping", "response", None, None, None)]
 
 
-def test_stream_commits_each_batch_once(spark, tmp_path):
+KIND = "subject string, doc_id string, chunk_index bigint, chunk_id string, point_id string, source_path string, section_path string, content_hash string, last_updated string, text string"
+
+
+def _put(spark, folder, data):
+    made = [(s, d, i, f"{d}:{i}", None, None, None, h, None, t) for s, d, i, h, t in data]
+    spark.createDataFrame(made, KIND).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _run(spark, store, folder, checkpoint):
     from corpusspark.operators.encoding import encoded
 
-    kind = "subject string, doc_id string, chunk_index bigint, chunk_id string, point_id string, source_path string, section_path string, content_hash string, last_updated string, text string"
-    put = lambda n, data: spark.createDataFrame([(s, d, i, f"{d}:{i}", None, None, None, h, None, t) for s, d, i, h, t in data], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    store = Store(spark, f"file://{tmp_path}/store")
-    run = lambda: stream_points(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/cp", encoded).awaitTermination()
-    put(0, [("s", "a", 0, "1", "x"), ("s", "a", 1, "1", "y"), ("s", "b", 0, "1", "z")])
-    run()
-    put(1, [("s", "a", 0, "2", "new")])
-    run()
-    run()
+    stream_points(spark.readStream.schema(KIND).parquet(folder), store, checkpoint, encoded).awaitTermination()
+
+
+def test_stream_commits_each_batch_once(spark, tmp_path):
+    store, at = Store(spark, f"file://{tmp_path}/store"), f"{tmp_path}/in"
+    _put(spark, at, [("s", "a", 0, "1", "x"), ("s", "a", 1, "1", "y"), ("s", "b", 0, "1", "z")])
+    _run(spark, store, at, f"{tmp_path}/cp")
+    _put(spark, at, [("s", "a", 0, "2", "new")])
+    _run(spark, store, at, f"{tmp_path}/cp")
+    _run(spark, store, at, f"{tmp_path}/cp")
     assert rows(store.points(), "chunk_id", "text") == [("a:0", "new"), ("b:0", "z")] and store.versions() == [1, 2]
-    from corpusspark.streaming.incremental import _committed
+    from corpusspark.streaming.incremental import _committed, stream_id
 
-    _committed(store, store.points().drop("version"), 1)  # a replay of a committed batch
+    _committed(store, store.points().drop("version"), stream_id(store, f"{tmp_path}/cp"), 1)  # a replay of a committed batch
     assert store.versions() == [1, 2]
 
 
+def test_streams_and_checkpoints_have_their_own_numbers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    _put(spark, f"{tmp_path}/one", [("s", "a", 0, "1", "x"), ("s", "a", 0, "1", "x")])
+    _run(spark, store, f"{tmp_path}/one", f"{tmp_path}/cp1")
+    _put(spark, f"{tmp_path}/two", [("s", "b", 0, "1", "y")])
+    _run(spark, store, f"{tmp_path}/two", f"{tmp_path}/cp2")  # a second stream starts at 0 too
+    _put(spark, f"{tmp_path}/three", [("s", "c", 0, "1", "z")])
+    _run(spark, store, f"{tmp_path}/three", f"{tmp_path}/new-cp1")  # so does one after its checkpoint is gone
+    assert rows(store.points(), "chunk_id") == [("a:0",), ("b:0",), ("c:0",)] and len(store.head()["batches"]) == 3
+
+
+def test_a_document_may_come_in_several_batches(spark, tmp_path):
+    store, at = Store(spark, f"file://{tmp_path}/store"), f"{tmp_path}/in"
+    for data in ([("s", "a", 0, "1", "x"), ("s", "a", 1, "1", "y")], [("s", "a", 2, "1", "z"), ("s", "a", 1, "1", "y2")]):
+        _put(spark, at, data)
+        _run(spark, store, at, f"{tmp_path}/cp")
+    assert rows(store.points(), "chunk_id", "text") == [("a:0", "x"), ("a:1", "y2"), ("a:2", "z")] and rows(store.manifest(), "chunk_count") == [(3,)]
+    _put(spark, at, [("s", "a", 0, "2", "other")])
+    _run(spark, store, at, f"{tmp_path}/cp")
+    assert rows(store.points(), "chunk_id", "text") == [("a:0", "other")]
+
+
+def test_store_keeps_deltas_and_removes_what_is_old(spark, tmp_path, monkeypatch):
+    from corpusspark.operators import store as module
+    from corpusspark.operators.encoding import encoded
+
+    monkeypatch.setattr(module, "DELTAS", 3)
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert store.create(256, "scalar") and not store.create(256, "scalar")
+    with pytest.raises(ValueError):
+        store.create(128)
+    with pytest.raises(ValueError):
+        store.create(1, "other")
+    docs = "subject string, doc_id string, source_path string, content_hash string, last_updated string, chunk_count bigint, error string"
+    none = spark.createDataFrame([], "subject string, doc_id string")
+    for i in range(6):
+        points = encoded(spark.createDataFrame([("s", f"d{i % 4}", 0, f"d{i % 4}:0", None, None, None, str(i), None, f"text {i}")], KIND))
+        gone = none if i != 5 else spark.createDataFrame([("s", "d3"), ("s", "d3"), ("s", "never")], "subject string, doc_id string")
+        store.commit(points, spark.createDataFrame([("s", f"d{i % 4}", None, str(i), None, 1, None)], docs), gone)
+    assert rows(store.manifest(), "doc_id", "content_hash") == [("d0", "4"), ("d1", "5"), ("d2", "2")] and len(store.head()["manifests"]) == 3
+    assert rows(store.points(), "doc_id", "text") == [("d0", "text 4"), ("d1", "text 5"), ("d2", "text 2")]
+    assert all(x == int(x) and abs(x) <= 127 for r in store.points().collect() for x in r.dense) and rows(store.sample(1), "chunk_id") == [("d0:0",)]
+    with pytest.raises(Exception, match="has not 256 dimensions"):
+        store.commit(points.withColumn("dense", F.slice("dense", 1, 3)), spark.createDataFrame([], docs), none)
+    store.compact()
+    before = rows(store.points(), "doc_id", "text")
+    assert store.vacuum() > 5 and rows(store.points(), "doc_id", "text") == before and store.vacuum() == 0
+    other = Store(spark, f"file://{tmp_path}/other")
+    module.reencode(store, other, "tests.plugins:FirstLetters")
+    module.reencode(store, other, "tests.plugins:FirstLetters", fresh=True, limit=1)
+    assert [(r.doc_id, len(r.dense)) for r in other.points().collect()] == [("d0", 26)]
+
+
+def test_a_run_that_died_is_taken_up_without_decoding(spark, corpus, monkeypatch, capsys, tmp_path):
+    from corpusspark.plans import pipeline
+
+    raw, a, _ = corpus
+    cfg = config.from_dict(raw)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "made_points", dies)
+        with pytest.raises(RuntimeError):
+            synced(spark, cfg)
+    store = Store(spark, cfg.store)
+    assert store.versions() == [] and len(store.staged()) == 1
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "decoded", dies)  # nothing is decoded again
+        (tmp_path / "c.yaml").write_text(json.dumps(raw))
+        assert cli.main(["--config", str(tmp_path / "c.yaml"), "drain"], spark) == 0 and "drained=1" in capsys.readouterr().out
+        assert {r.subject: r.unchanged for r in synced(spark, cfg).collect()} == {"a": 3, "b": 2}
+    assert store.staged() == [] and store.points().count() == 5
+    (a / "two.HTML").unlink()
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "made_points", dies)
+        with pytest.raises(RuntimeError):
+            synced(spark, cfg)
+    store.compact()  # another version: what was staged is classified anew
+    assert {r.subject: r.deleted for r in synced(spark, cfg).collect()} == {"a": 1, "b": 0} and store.staged() == []
+    waits = []
+
+    def stop(seconds):
+        waits.append(seconds)
+        if len(waits) == 2:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        cli.main(["--config", str(tmp_path / "c.yaml"), "sync", "--subject", "a", "--every", "7"], spark, stop)
+    assert waits == [7, 7]
+
+
+def test_scratch_removes_its_tables(spark):
+    from corpusspark.tables import new_path, scratch, written
+
+    with scratch(spark):
+        path = written(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+        with scratch(spark):
+            inner = written(spark.range(3), "y").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and not os.path.exists(inner)
+    assert not os.path.exists(path) and new_path(spark, "z")
+
+
+def test_trees_are_written_copied_and_pruned(spark, tmp_path):
+    from corpusspark.operators import reconcile
+    from corpusspark.sources import trees
+
+    pages = spark.createDataFrame([("a/b c.md", "# é"), ("x.md", None), ("../evil.md", "no"), ("d.md", "d")], "path string, markdown string")
+    found = rows(trees.write_tree(pages, f"file://{tmp_path}/out"), "path", "done")
+    assert found == [("../evil.md", False), ("a/b c.md", True), ("d.md", True)] and (tmp_path / "out" / "a" / "b c.md").read_text() == "# é"
+    new, old = ({n: h for n, h in x} for x in ([("a/b c.md", "1"), ("d.md", "2")], [("d.md", "1"), ("old/e.md", "1")]))
+    (tmp_path / "to" / "old").mkdir(parents=True)
+    for n in old:
+        (tmp_path / "to" / n).write_text("old")
+    frame = lambda x: spark.createDataFrame(list(x.items()), "path string, content_hash string")
+    actions = reconcile.mirror(frame(new), frame(old), delete=True)
+    assert rows(trees.apply_mirror(actions, f"file://{tmp_path}/out", f"{tmp_path}/to"), "path", "done") == [("a/b c.md", True), ("d.md", True), ("old/e.md", True)]
+    assert sorted(str(p.relative_to(tmp_path / "to")) for p in (tmp_path / "to").rglob("*") if p.is_file()) == ["a/b c.md", "d.md"] and (tmp_path / "to" / "d.md").read_text() == "d"
+    gone = reconcile.orphans(frame(new), frame({"a": ""}).select("path"))
+    assert rows(trees.prune(gone, f"{tmp_path}/to"), "path", "done") == [("d.md", False)] and (tmp_path / "to" / "d.md").exists()
+    assert rows(trees.prune(gone, f"{tmp_path}/to", apply=True), "path", "done") == [("d.md", True)] and not (tmp_path / "to" / "d.md").exists()
+    assert rows(reconcile.orphan_counts(frame(new).select("path"), frame({"a": ""}).select("path"))) == [(2, 1, 1)]
+
+
+def test_tags_are_counted_and_found(spark):
+    from corpusspark.operators import reconcile, sync
+
+    tags = spark.createDataFrame([(3, "x"), (2, "x"), (5, "none"), (6, None)], "id int, name string")
+    mapping = spark.createDataFrame([("1", "files", 2), ("1", "files", 2), ("2", "files", 3), ("3", "files", 9)], "objectid string, objecttype string, systemtagid int")
+    assert rows(reconcile.tag_counts(tags, mapping)) == [(None, 0), ("none", 0), ("x", 2)]
+    assert reconcile.tag_id(tags, "x") == 2 and reconcile.tag_id(tags, "y") is None
+    stats = spark.createDataFrame([("a", True), ("b", False)], "subject string, is_noop boolean")
+    assert [sync.all_noop(x).first()[0] for x in (stats, stats.where("is_noop"), stats.limit(0))] == [False, True, True]
+
+
+def test_model_context_protocol(spark, corpus):
+    raw, _, _ = corpus
+    cfg = config.from_dict(raw)
+    synced(spark, cfg)
+    s = Searcher(spark, cfg)
+    ask = lambda m, **p: answer(s, "POST", "/mcp", json.dumps({"jsonrpc": "2.0", "id": 7, "method": m, "params": p}).encode(), "t", "Bearer t")
+    assert answer(s, "POST", "/mcp", b"{}", "t", None)[0] == 401 and answer(s, "POST", "/mcp", b"{", "t", "Bearer t")[0] == 400
+    hello = ask("initialize", protocolVersion="2025-03-26")[1]
+    assert hello["id"] == 7 and hello["result"]["protocolVersion"] == "2025-03-26" and "Fruit" in hello["result"]["instructions"]
+    assert [t["name"] for t in ask("tools/list")[1]["result"]["tools"]] == ["list_subjects", "search"] and ask("ping")[1]["result"] == {}
+    found = ask("tools/call", name="search", arguments={"subject": "all", "query": "zebra", "k": 1})[1]["result"]
+    assert json.loads(found["content"][0]["text"])[0]["chunk_id"] == "two.docx:0" and not found["isError"]
+    assert len(json.loads(ask("tools/call", name="list_subjects")[1]["result"]["content"][0]["text"])) == 2
+    assert ask("tools/call", name="search", arguments={"subject": "z", "query": "q"})[1]["result"]["isError"]
+    assert ask("tools/call", name="search", arguments={})[1]["error"]["code"] == -32602 and ask("other")[1]["error"]["code"] == -32601
+    assert answer(s, "POST", "/mcp", b'{"jsonrpc": "2.0", "method": "notifications/initialized"}', "t", "Bearer t") == (202, None)
+    assert [r["id"] for r in answer(s, "POST", "/mcp", b'[{"id": 1, "method": "ping"}, {"id": 2, "method": "ping"}]', "t", "Bearer t")[1]] == [1, 2]
+
+
+def test_files_of_deployments_are_taken():
+    cfg = config.from_dict({
+        "embedding_model": "m", "embedding_dim": 8, "onnx_model_dir": "/models/e", "embedding_int8": False, "chunk": {"target_tokens": 100, "overlap": 9}, "qdrant": {"host": "h", "quantization": "scalar"},
+        "manifest_path": "/data/state/manifest.sqlite", "rerank": {"enabled": True, "model_dir": "/models/r", "top_n": 20}, "server": {"port": 1, "default_k": 4, "prefetch_limit": 9}, "subjects": [{"name": "a", "dir": "d", "collection": "c"}],
+    })
+    assert (cfg.store, cfg.encoder, cfg.encoder_options, cfg.dim, cfg.quantization) == ("/data/state/manifest", "onnx", {"folder": "/models/e", "int8": False}, 8, "scalar")
+    assert (cfg.chunk.max_tokens, cfg.search.default_k, cfg.search.prefetch, cfg.search.top_n, cfg.search.reranker, cfg.search.reranker_options, cfg.server.port) == (100, 4, 9, 20, "onnx", {"folder": "/models/r"}, 1)
+
+
 def test_stream_deduplicates(spark, tmp_path):
     kind = "subject string, doc_id string, content_hash string, loaded_at timestamp_ntz"
     spark.range(6).select(F.lit("s").alias("subject"), (F.col("id") % 3).cast("string").alias("doc_id"), F.lit("h").alias("content_hash"), F.lit("2024-01-01").cast("timestamp_ntz").alias("loaded_at")).write.parquet(f"{tmp_path}/in")
