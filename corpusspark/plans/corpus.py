@@ -35,10 +35,10 @@ def manifest_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_replace_points(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk store after the documents the last snapshot changed got their first chunk alone, and the removed ones none."""
+    """The chunk store after the documents the last snapshot changed got all their chunks anew, and the removed ones none."""
     chunks = sync.latest_staged(table(spark, d, "staged_chunks")).select("subject", "doc_id", "chunk_id", "chunk_index")
     found = sync_classify(spark, d)
-    fresh = chunks.where("chunk_index = 0").join(found.where("status = 'changed'").select(*sync.KEY), sync.KEY, "left_semi")
+    fresh = chunks.join(found.where("status = 'changed'").select(*sync.KEY), sync.KEY, "left_semi")
     return sync.replaced(chunks, fresh, found.where("status in ('changed', 'deleted')")).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
@@ -233,7 +233,7 @@ ORACLE = {
     "manifest_merge": f"with {_TWO} select * from disk",
     "doc_replace_points": f"""with {_TWO}, {_STAGED}
 select subject, doc_id, chunk_id, cast(chunk_index as bigint) as chunk_index from staged s
-where not exists (select 1 from found f where f.subject = s.subject and f.doc_id = s.doc_id and (f.status = 'deleted' or f.status = 'changed' and s.chunk_index <> 0))
+where not exists (select 1 from found f where f.subject = s.subject and f.doc_id = s.doc_id and f.status = 'deleted')
 """,
     "content_hashes": "select doc_id, sha256(text) as sha from documents",
     "point_uuids": """with h as (select distinct chunk_id, sha1(unhex('6f9619ff8b86d011b42d00c04fc964ff') || encode(chunk_id)) as h from staged_chunks)
