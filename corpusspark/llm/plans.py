@@ -76,9 +76,9 @@ _LINES = r"""
 lines as (
   select chunk_id, doc_id, subject, text, unnest(range(len(string_split(text, chr(10))))) as line_no from (select distinct chunk_id, doc_id, subject, text from staged_chunks where text is not null)),
 bare as (
-  select chunk_id, doc_id, subject, line_no, trim(regexp_replace(lower(string_split(text, chr(10))[line_no + 1]), '[^\p{L}]+', ' ', 'g')) as s from lines),
+  select chunk_id, doc_id, subject, text, line_no, trim(regexp_replace(lower(string_split(text, chr(10))[line_no + 1]), '[^\p{L}]+', ' ', 'g')) as s from lines),
 keyed as (
-  select chunk_id, doc_id, subject, line_no, replace(s, ' ', '') as k from bare where length(s) - length(replace(s, ' ', '')) >= 2),
+  select chunk_id, doc_id, subject, text, line_no, replace(s, ' ', '') as k from bare where length(s) - length(replace(s, ' ', '')) >= 2),
 often as (
   select subject, k from keyed group by subject, k having count(distinct doc_id) >= 6)"""
 ORACLE = {
@@ -98,6 +98,30 @@ select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b
 from o a join o b on a.x = b.x and a.chunk_id < b.chunk_id and a.doc_id <> b.doc_id
 group by a.chunk_id, b.chunk_id, a.n, b.n
 having count(*) >= 0.6 * (a.n + b.n - count(*))""",
+    "p1_sequences": f"""with {_LINES}, texts as (
+  select chunk_id, doc_id, subject, text, list(k order by line_no) as ks from (select l.chunk_id, l.doc_id, l.subject, l.text, l.line_no, k.k from lines l join keyed k
+    on k.chunk_id is not distinct from l.chunk_id and k.doc_id is not distinct from l.doc_id and k.subject is not distinct from l.subject and k.line_no = l.line_no and k.text = l.text) group by all),
+places as (select chunk_id, doc_id, subject, ks, length, unnest(range(1, len(ks) - length + 2)) as p from (select *, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) as length from texts) where length <= len(ks)),
+slices as (select doc_id, subject, length, ks[p:p + length - 1] as q from places),
+often_q as (select subject, length, q, count(*) as n, count(distinct doc_id) as n_docs from slices group by all having count(distinct doc_id) >= 6)
+select cast(length as bigint) as length, count(*) as sequences, cast(sum(n) as bigint) as occurrences, max(n_docs) as most_docs from often_q group by length""",
+    "p2_groups": r"""
+with recursive t as (
+  select chunk_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from (select distinct chunk_id, doc_id, text from staged_chunks where text is not null)),
+s as (
+  select chunk_id, doc_id, list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) as s from t where len(w) >= 20),
+m as (select distinct chunk_id, doc_id, md5(array_to_string(s, '|')) as k, s from s),
+sets as (select k, any_value(s) as s, min(doc_id) as low, max(doc_id) as high, count(*) as n from m group by k),
+o as (select k, low, high, len(s) as n, unnest(s) as x from sets),
+across as (
+  select a.k as a, b.k as b from o a join o b on a.x = b.x and a.k < b.k group by a.k, b.k, a.n, b.n, a.low, a.high, b.low, b.high
+  having count(*) >= 0.6 * (a.n + b.n - count(*)) and not (a.low = a.high and b.low = b.high and a.low = b.low)),
+e as (select a, b from across union all select b, a from across),
+reach as (select a as k, b as j from e union select r.k, e.b from reach r join e on r.j = e.a),
+grouped as (select k, j from reach union select k, k from sets where low <> high or k in (select a from e)),
+names as (select g.k, min(m.chunk_id) as class_id from grouped g join m on m.k = g.j group by g.k),
+degree as (select a as k, count(*) as n_links from e group by a)
+select m.chunk_id, m.doc_id, names.class_id, coalesce(degree.n_links, 0) as n_links, sets.n - 1 as n_copies from m join names on names.k = m.k join sets on sets.k = m.k left join degree on degree.k = m.k""",
     "p7_found": r"""
 with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w from eval_items where passage is not null),

@@ -17,11 +17,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusspark.sources.trees import file_system
 from corpusspark.tables import new_path, written
 
 LIMIT, OVERLAP = 2000, 200
@@ -122,7 +122,7 @@ def spooled(items: DataFrame) -> DataFrame:
     cols = [c for c in items.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _file_system(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         out, name, at = None, "", 0
         try:
@@ -148,13 +148,6 @@ def spooled(items: DataFrame) -> DataFrame:
     return written(items.select(*cols, "text").mapInArrow(run, f"{kinds}, path string, offset bigint, bytes bigint"), "p4-items")
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, local or remote, and the path on it."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 def _reader(size: int, limit: int, overlap: int):
     """A function that reads a range (path, offset, bytes, range_no) with its halos: (text, at, size, more).
 
@@ -173,7 +166,7 @@ def _reader(size: int, limit: int, overlap: int):
         if held["path"] != path:
             if held["file"] is not None:
                 held["file"].close()
-            fs, at = _file_system(path)
+            fs, at = file_system(path)
             held.update(path=path, file=fs.open_input_file(at))
         low, high = range_no * size, min(total, (range_no + 1) * size)
         seek, stop = max(0, low - left), min(total, high + right)
