@@ -70,6 +70,7 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self._manifests: dict[str, dict] = {}
 
     @staticmethod
     def load(docs: DataFrame, path: str | None = None, file_rows: int = FILE_ROWS) -> History:
@@ -145,7 +146,11 @@ class History:
     def manifests(self) -> list[dict]:
         """The versions' manifests, in order."""
         at = f"{self.path}/versions"
-        return [json.loads(get_file(self.spark, f"{at}/{n}") or "{}") for n in names_in(self.spark, at) if n.endswith(".json")]
+        names = [n for n in names_in(self.spark, at) if n.endswith(".json")]
+        for n in names:  # they never change
+            if n not in self._manifests:
+                self._manifests[n] = json.loads(get_file(self.spark, f"{at}/{n}") or "{}")
+        return [self._manifests[n] for n in names]
 
     def numbers(self) -> list[int]:
         """Snapshot numbers of the versions, in order."""
@@ -255,19 +260,23 @@ class IncrementalRun:
         return self.spark.read.schema(_POSITIONS).parquet(f"{self.out}/{c[-1]['positions']}") if c else self.spark.createDataFrame([], _POSITIONS)
 
     def advance(self, wanted: DataFrame, step=lambda df: df, first: str = "all") -> int:
-        """Brings sources to versions; returns the number of the commit.
+        """Brings sources to versions, through one or several runs each; returns the number of the commit.
 
-        wanted: span (which is in the output's rows), subject, version_to; one row a source. step makes
-        the output of the changes (span, subject, doc_id, change_kind). A source without a position has all its
-        rows added, or with first="skip" none.
+        wanted: span (which is in the output's rows), subject, version_to, turn. A source's runs follow each other
+        by turn, each from the version of the one before it, the first from the source's position. step makes
+        the output of the changes (span, subject, doc_id, change_kind). The first run of a source without a position
+        has all its rows added, or with first="skip" none. All runs of a step are committed together or not at all.
         """
         n, name = len(self.commits()), uuid.uuid4().hex
-        w = wanted.alias("w").join(self.positions().alias("p"), F.col("w.subject").eqNullSafe(F.col("p.subject")), "left")
-        start = F.coalesce("p.version", F.lit(-1) if first == "all" else F.lit(None).cast("int")).cast("int")
-        spans = written(w.select("w.span", "w.subject", start.alias("version_from"), F.col("w.version_to").cast("int").alias("version_to")), "spans")
-        step(self.history.changes(spans.where("version_from is not null"))).write.parquet(f"{self.out}/batches/{name}")
-        kept = self.positions().alias("p").join(spans.alias("s"), F.col("p.subject").eqNullSafe(F.col("s.subject")), "left_anti")
-        kept.unionByName(spans.select("subject", F.col("version_to").alias("version"))).coalesce(1).write.parquet(f"{self.out}/positions/{name}")
+        known = self.positions()
+        w = wanted.alias("w").join(known.alias("p"), F.col("w.subject").eqNullSafe(F.col("p.subject")), "left").select("w.*", F.col("p.version").alias("at"))
+        order = Window.partitionBy("subject").orderBy("turn")
+        start = F.coalesce(F.lag("version_to").over(order), "at", F.lit(-1) if first == "all" else F.lit(None).cast("int")).cast("int")
+        last = F.row_number().over(Window.partitionBy("subject").orderBy(F.col("turn").desc())) == 1
+        spans = written(w.select("span", "subject", start.alias("version_from"), F.col("version_to").cast("int").alias("version_to"), last.alias("last")), "spans")
+        step(self.history.changes(spans.where("version_from is not null and version_from <> version_to"))).write.parquet(f"{self.out}/batches/{name}")
+        kept = known.alias("p").join(spans.alias("s"), F.col("p.subject").eqNullSafe(F.col("s.subject")), "left_anti")
+        kept.unionByName(spans.where("last").select("subject", F.col("version_to").alias("version"))).coalesce(1).write.parquet(f"{self.out}/positions/{name}")
         if not put_file(self.spark, f"{self.out}/commits/{n:010d}.json", json.dumps({"batch": f"batches/{name}", "positions": f"positions/{name}"})):
             for x in ("batches", "positions"):
                 remove(self.spark, f"{self.out}/{x}/{name}")
@@ -279,7 +288,7 @@ class IncrementalRun:
         to = len(self.history.manifests()) - 1 if to is None else to
         sources = self.history.data().select("subject").distinct()
         wanted = sources.alias("w").join(self.positions().alias("p"), F.col("w.subject").eqNullSafe(F.col("p.subject")), "left")
-        wanted = wanted.where(F.coalesce("p.version", F.lit(-1)) < to).select(F.lit(to).cast("bigint").alias("span"), "w.subject", F.lit(to).alias("version_to"))
+        wanted = wanted.where(F.coalesce("p.version", F.lit(-1)) < to).select(F.lit(to).cast("bigint").alias("span"), "w.subject", F.lit(to).alias("version_to"), F.lit(1).alias("turn"))
         if wanted.isEmpty():
             return False
         self.advance(wanted, step)
@@ -315,14 +324,12 @@ def run_changes(docs: DataFrame, runs: DataFrame, file_rows: int = FILE_ROWS) ->
     docs: full snapshots (snap_no, subject, doc_id, content_hash, loaded_at). runs: run_id, subject,
     snap_no, started_at, status. Change is told by content_hash alone, never by last_updated. A
     subject's first successful run has no rows; neither has a run over the snapshot of the run before.
-    Empty tables give no rows. The log is replayed through IncrementalRun: the subjects' first runs, then
-    their second ones, and so on, each turn one step and one commit.
+    Empty tables give no rows. The log is replayed through IncrementalRun, as one that catches up with all runs
+    at once: what is read are the files that the manifests between the runs' versions name.
     """
     spark = docs.sparkSession
     h = History.load(docs, file_rows=file_rows)
-    turns = written(ok_runs(runs, h.numbers()), "turns")
     run = IncrementalRun(h, new_path(spark, "runs"))
-    for turn in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
-        run.advance(turns.where(F.col("turn") == turn).drop("turn"), first="skip")
-    found = run.output() if run.commits() else spark.createDataFrame([], _CHANGES)
+    run.advance(ok_runs(runs, h.numbers()), first="skip")
+    found = run.output()
     return found.select(F.col("span").alias("run_id"), "subject", "doc_id", "change_kind")

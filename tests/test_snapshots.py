@@ -149,6 +149,19 @@ def test_incremental_run_survives_a_failure(spark, tmp_path):
     assert rows(run.output(), "doc_id", "change_kind") == [("a", "added"), ("a", "changed"), ("b", "added"), ("b", "removed"), ("c", "added"), ("d", "added")]
 
 
+def test_a_source_goes_on_from_its_position(spark, tmp_path):
+    data = _random(5)
+    h = History.load(_docs(spark, data), file_rows=9)
+    wanted = lambda x: spark.createDataFrame(x, "span bigint, subject string, version_to int, turn int")
+    at_once, steps = (IncrementalRun(h, f"file://{tmp_path}/{n}") for n in ("once", "steps"))
+    runs = [(1, "s", 0, 1), (2, "s", 2, 2), (3, "s", 1, 3), (4, None, 1, 1), (5, None, 3, 2), (6, "hot", 3, 1)]
+    at_once.advance(wanted(runs))
+    for i in (1, 2, 3):
+        steps.advance(wanted([r for r in runs if r[3] == i]))
+    assert rows(at_once.output()) == rows(steps.output()) and len(rows(steps.output())) > 30
+    assert rows(at_once.positions()) == rows(steps.positions()) == [(None, 3), ("hot", 3), ("s", 1)]
+
+
 def test_of_two_runners_one_commits(spark, tmp_path):
     h = History.load(_docs(spark, _snapshots()), f"file://{tmp_path}/history")
     run, other = (IncrementalRun(h, f"file://{tmp_path}/out") for _ in range(2))
