@@ -25,7 +25,7 @@ def _once(spark: SparkSession, name: str, tables: list[DataFrame], made: Callabl
     files = sorted({p for t in tables for p in t.inputFiles()})
     key = (name, spark.sparkContext.applicationId, shared_dir(spark), *file_states(spark, files))
     if key not in _kept:
-        _kept[key] = written(made(), name)
+        _kept[key] = written(made(), name, keep=True)
     return _kept[key]
 
 

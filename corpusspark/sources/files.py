@@ -122,30 +122,42 @@ def _html(b: bytes) -> str:
     return "\n".join(out).strip()
 
 
-def _office(b: bytes, parts: str, paragraph: str, text: str) -> str:
-    """Paragraphs of an office document, from the XML in its archive."""
+def _office(b: bytes, parts: str) -> str:
+    """Paragraphs, and tables as rows of cells, of an office document, from the XML in its archive."""
     from xml.etree import ElementTree
 
-    out = []
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    said = lambda e: tidy("".join(x.text or "" for x in e.iter() if local(x) == "t"))
+    out: list[str] = []
+
+    def walk(e) -> None:
+        kind = local(e)
+        if kind == "tbl":
+            rows = [[said(c).replace("|", "\\|") for c in r if local(c) == "tc"] for r in e if local(r) == "tr"]
+            lines = [f"| {' | '.join(r)} |" for r in rows if any(r)]
+            out.extend([*lines[:1], *(["|" + " --- |" * len(rows[0])] if lines else []), *lines[1:]])
+        elif kind == "p":
+            style = next((v for x in e.iter() for k, v in x.attrib.items() if local(x) == "pStyle" and k.rpartition("}")[2] == "val"), "")
+            level = re.fullmatch(r"Heading([1-6])", style)
+            if line := said(e):
+                out.append("#" * int(level.group(1)) + " " + line if level else line)
+        else:
+            for x in e:
+                walk(x)
+
     with zipfile.ZipFile(io.BytesIO(b)) as z:
         names = sorted((n for n in z.namelist() if re.fullmatch(parts, n)), key=lambda n: [int(x) for x in re.findall(r"\d+", n)])
         for name in names:
-            for p in ElementTree.fromstring(z.read(name)).iter():
-                if isinstance(p.tag, str) and p.tag.endswith(paragraph):
-                    style = next((v for e in p.iter() for k, v in e.attrib.items() if e.tag.endswith("}pStyle") and k.endswith("}val")), "")
-                    line = tidy("".join(e.text or "" for e in p.iter() if e.tag.endswith(text)))
-                    level = re.fullmatch(r"Heading([1-6])", style)
-                    if line:
-                        out.append("#" * int(level.group(1)) + " " + line if level else line)
+            walk(ElementTree.fromstring(z.read(name)))
     return "\n".join(out)
 
 
 def _docx(b: bytes) -> str:
-    return _office(b, r"word/document\.xml", "}p", "}t")
+    return _office(b, r"word/document\.xml")
 
 
 def _pptx(b: bytes) -> str:
-    return _office(b, r"ppt/slides/slide\d+\.xml", "}p", "}t")
+    return _office(b, r"ppt/slides/slide\d+\.xml")
 
 
 #: Decoders by suffix; a caller may add others, as for PDF, which has none here.
@@ -181,3 +193,20 @@ def decoded(docs: DataFrame, decoders: dict | None = None) -> DataFrame:
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
     return docs.select(*cols, "content").mapInArrow(run, f"{fields}, text string, error string")
+
+
+# Tables of a file server that say which objects have which tags, and the columns that are read.
+TAG_TABLES = {"tags": ("oc_systemtag", ["id", "name"]), "mapping": ("oc_systemtag_object_mapping", ["objectid", "objecttype", "systemtagid"]), "files": ("oc_filecache", ["fileid", "path", "mimetype"]), "mimes": ("oc_mimetypes", ["id", "mimetype"])}
+
+
+def tag_tables(spark: SparkSession, place: str, **options: str) -> dict[str, DataFrame]:
+    """The frames tags, mapping, files and mimes that reconcile.tagged() takes: from a database, if place is a JDBC URL, else from Parquet in a folder.
+
+    options: of the JDBC reader (user, password, driver, and a partitionColumn with its bounds for large
+    tables). Only the columns needed are read.
+    """
+    if place.startswith("jdbc:"):
+        read = lambda name: spark.read.format("jdbc").options(url=place, dbtable=name, **options).load()
+    else:
+        read = lambda name: spark.read.parquet(f"{place}/{name}.parquet")
+    return {k: read(name).select(*columns) for k, (name, columns) in TAG_TABLES.items()}

@@ -85,20 +85,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name under the shared folder; it is removed at the end of the scratch() it is made in, else when the driver ends."""
+def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A fresh folder name under the shared folder; it is removed at the end of the scratch() it is made in, else, or with keep, when the driver ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _scopes.get():
+    if _scopes.get() and not keep:
         _scopes.get()[-1].append(path)
     else:
         _remove_at_exit(spark, path)
     return path
 
 
-def written(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
-    """df as a table written to the shared folder: later reads survive the loss of any executor."""
+def written(df: DataFrame, tag: str, by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """df as a table written to the shared folder: later reads survive the loss of any executor. keep: see new_path()."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = new_path(spark, tag, keep)
     w = df.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the test tables are not here")
-@pytest.mark.parametrize("name", ["p3_found", "p5_found", "sync_classify", "doc_replace_points", "glob_filter", "chunk_pack", "staged_batches", "weight_parity", "bundle_edges", "tag_select", "prune_orphans", "latency_percentiles", "resolved_requests", "search_results", "recall_topn", "vector_topn"])
+@pytest.mark.parametrize("name", sorted(n for m in entry.MODULES if ".llm." not in m.__name__ for n in m.ORACLE))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 

@@ -364,6 +364,23 @@ def test_tags_are_counted_and_found(spark):
     assert [sync.all_noop(x).first()[0] for x in (stats, stats.where("is_noop"), stats.limit(0))] == [False, True, True]
 
 
+def test_tables_of_office_files_and_of_tags(spark, tmp_path):
+    from corpusspark.operators import reconcile
+
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    xml = f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Before</w:t></w:r></w:p><w:tbl><w:tr>{cell("a")}{cell("b|c")}</w:tr><w:tr>{cell("1")}{cell("")}</w:tr></w:tbl><w:p/></w:body></w:document>'
+    slide = lambda t: f'<p:sld xmlns:p="p" xmlns:a="a"><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sld>'
+    docs = spark.createDataFrame([("s", "x.docx", _zip({"word/document.xml": xml})), ("s", "y.pptx", _zip({f"ppt/slides/slide{i}.xml": slide(f"slide {i}") for i in (10, 2)})), ("s", "z.docx", b"no")], "subject string, doc_id string, content binary")
+    found = {r.doc_id: (r.text, r.error) for r in files.decoded(docs).collect()}
+    assert found["x.docx"][0] == "Before\n| a | b\\|c |\n| --- | --- |\n| 1 |  |" and found["y.pptx"][0] == "slide 2\nslide 10" and found["z.docx"][0] is None and "BadZipFile" in found["z.docx"][1]
+    put = lambda name, data, kind: spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("oc_systemtag", [(1, "keep", "x"), (2, "drop", "x")], "id bigint, name string, other string")
+    put("oc_systemtag_object_mapping", [("7", "files", 1), ("8", "files", 2), ("no", "files", 1)], "objectid string, objecttype string, systemtagid bigint")
+    put("oc_filecache", [(7, "a.md", 1), (8, "b.md", 1)], "fileid bigint, path string, mimetype bigint")
+    put("oc_mimetypes", [(1, "text/markdown")], "id bigint, mimetype string")
+    assert rows(reconcile.tagged(**files.tag_tables(spark, str(tmp_path)), names=["keep"])) == [("a.md", "text/markdown")]
+
+
 def test_model_context_protocol(spark, corpus):
     raw, _, _ = corpus
     cfg = config.from_dict(raw)
