@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusspark.tables import strip
+from corpusspark.tables import get_file, names_in, new_path, put_file, strip, written
 
 #: Bits of the key's hash that one level of the tree adds.
 FAN_BITS = 4
 #: Rows of one snapshot that a leaf should hold.
 LEAF_ROWS = 16
+_ROWS = "subject string, doc_id string, hash string, spot bigint, digest_a bigint, digest_b bigint"
+_NODES = "node bigint, digest_a bigint, digest_b bigint"
 
 
 def hash_of(c: Column) -> Column:
@@ -59,36 +63,111 @@ def position(numbers: list[int], c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p, n in enumerate(numbers) for x in (n, p)]), c)
 
 
-def _paired(nodes: DataFrame, last: int) -> DataFrame:
-    """Each node once for each of the two pairs of snapshots (pair - 1, pair) it takes part in."""
-    return nodes.withColumn("pair", F.explode(F.array("pos", F.col("pos") + 1))).where(F.col("pair").between(1, last))
+def _mixed(seed: int, *c: Column) -> Column:
+    return F.xxhash64(F.lit(seed), *c)
+
+
+def _spotted(rows: DataFrame) -> DataFrame:
+    """rows (subject, doc_id, hash, ...) with spot, the key's hash, whose first bits are the row's place in the tree, and two digests of the row."""
+    digests = [_mixed(seed, *_exact(F.col("subject"), F.col("doc_id"), F.col("hash"))).alias(f"digest_{x}") for seed, x in ((11, "a"), (12, "b"))]
+    return rows.select("*", F.xxhash64(*_exact(F.col("subject"), F.col("doc_id"))).alias("spot"), *digests)
 
 
-def differing_ranges(rows: DataFrame, bits: int, last: int) -> DataFrame:
-    """(pair, bucket) of the hash ranges that are unlike in two consecutive snapshots.
+def _node(depth: Column | int) -> Column:
+    """The node at a depth, 1 at least, that a row is below: the first bits of its spot."""
+    return F.call_function("shiftrightunsigned", F.col("spot"), F.lit(64) - FAN_BITS * (depth if isinstance(depth, Column) else F.lit(depth)))
 
-    rows: pos, bucket (the first `bits` bits of the key's hash), digest_a, digest_b of each row.
-    A leaf's digest is the exclusive or of its rows' digests, with their number; an inner node's is
-    made likewise of its children's. Trees are compared from the root down: below equal nodes
-    nothing is looked at.
+
+def _depth(rows: int, leaf_rows: int) -> int:
+    """Levels below the root at which a leaf has some leaf_rows of so many rows; it grows with them, up to all bits of a hash."""
+    return min(64 // FAN_BITS - 1, max(1, math.ceil(math.log2(max(2, rows / leaf_rows)) / FAN_BITS)))
+
+
+class Snapshots:
+    """Snapshots of a table with their Merkle trees, written once each, under one path.
+
+    A leaf's digest is the exclusive or of its rows' digests, with their number; an inner node's is made
+    likewise of its children's; a node has 2 ** FAN_BITS children, by the next bits of the keys' hashes. A new snapshot costs
+    its own tree. Trees are compared from the root down: below equal nodes nothing is looked at, and rows are read
+    for differing leaves alone. Trees of unlike depth are compared down to the lesser one.
     """
-    mix = lambda seed, *c: F.xxhash64(F.lit(seed), *c)
-    level = rows.groupBy("pos", F.col("bucket").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("digest_a").alias("a"), F.bit_xor("digest_b").alias("b"))
-    level = level.select("pos", "node", mix(1, F.col("n"), F.col("a")).alias("digest_a"), mix(2, F.col("n"), F.col("b")).alias("digest_b"))
-    levels = [level]
-    for _ in range(math.ceil(bits / FAN_BITS)):
-        level = (
-            level.groupBy("pos", F.shiftright("node", FAN_BITS).alias("parent"))
-            .agg(F.bit_xor(mix(1, F.col("node"), F.col("digest_a"))).alias("digest_a"), F.bit_xor(mix(2, F.col("node"), F.col("digest_b"))).alias("digest_b"))
-            .withColumnRenamed("parent", "node")
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def manifests(self) -> list[dict]:
+        """(number, folder, pos, depth) of each snapshot, in the order of their numbers."""
+        at = f"{self.path}/snapshots"
+        found = [json.loads(get_file(self.spark, f"{at}/{n}") or "{}") for n in names_in(self.spark, at) if n.endswith(".json")]
+        return sorted(found, key=lambda m: m["number"])
+
+    def add(self, docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> list[int]:
+        """Writes the snapshots in docs, in one pass, with their trees; returns their numbers. One that is there already is an error and nothing is changed."""
+        sizes = snapshot_sizes(docs)
+        numbers, depth = sorted(sizes), _depth(max(sizes.values(), default=0), leaf_rows)
+        taken = {m["number"] for m in self.manifests()} & set(numbers)
+        if taken:
+            raise ValueError(f"snapshots {sorted(taken)} are there")
+        folder = f"{self.path}/trees/{uuid.uuid4().hex}"
+        made = latest(docs).select(position(numbers, F.col("snap_no")).alias("pos"), "subject", "doc_id", "hash")
+        _spotted(made).write.partitionBy("pos").parquet(f"{folder}/rows")
+        rows = self.spark.read.schema(f"{_ROWS}, pos int").parquet(f"{folder}/rows") if numbers else self.spark.createDataFrame([], f"{_ROWS}, pos int")
+        level = rows.groupBy("pos", _node(depth).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("digest_a").alias("a"), F.bit_xor("digest_b").alias("b"))
+        level = written(level.select("pos", "node", _mixed(1, F.col("n"), F.col("a")).alias("digest_a"), _mixed(2, F.col("n"), F.col("b")).alias("digest_b")), "leaves")
+        every = level.withColumn("depth", F.lit(depth))
+        for d in range(depth - 1, -1, -1):
+            up = [F.bit_xor(_mixed(seed, F.col("node"), F.col(f"digest_{x}"))).alias(f"digest_{x}") for seed, x in ((1, "a"), (2, "b"))]
+            level = level.groupBy("pos", F.shiftright("node", FAN_BITS).alias("parent")).agg(*up).withColumnRenamed("parent", "node")
+            every = every.unionByName(level.withColumn("depth", F.lit(d)))
+        every.write.partitionBy("pos", "depth").parquet(f"{folder}/nodes")
+        for pos, n in enumerate(numbers):
+            if not put_file(self.spark, f"{self.path}/snapshots/{n}.json", json.dumps({"number": n, "folder": folder, "pos": pos, "depth": depth})):
+                raise ValueError(f"snapshot {n} is there")
+        return numbers
+
+    def _read(self, kind: str, schema: str, wanted: list[tuple[int, dict]], depth: int | None = None) -> DataFrame:
+        """Rows or nodes of snapshots (place, manifest), with their place as pos."""
+        found = self.spark.createDataFrame([], f"{schema}, pos int")
+        for folder in sorted({m["folder"] for _, m in wanted}):
+            own = {m["pos"]: place for place, m in wanted if m["folder"] == folder}
+            one = self.spark.read.schema(f"{schema}, pos int" + (", depth int" if kind == "nodes" else "")).parquet(f"{folder}/{kind}").where(F.col("pos").isin(list(own)))
+            one = one.where(F.col("depth") == depth).drop("depth") if depth is not None else one
+            found = found.unionByName(one.withColumn("pos", F.element_at(F.create_map(*[F.lit(x) for k in own.items() for x in k]), F.col("pos"))))
+        return found
+
+    def changes(self) -> DataFrame:
+        """(snap_no, subject, doc_id, change_kind) for every two consecutive snapshots; see snapshot_changes()."""
+        all_ = list(enumerate(self.manifests()))
+        last, number = len(all_) - 1, [m["number"] for _, m in all_]
+        deep = {i: min(all_[i - 1][1]["depth"], all_[i][1]["depth"]) for i in range(1, last + 1)}
+        leaves, found = None, None
+        for d in range(max(deep.values(), default=-1) + 1):
+            level = _paired(self._read("nodes", _NODES, all_, d), last).where(F.col("pair").isin([i for i, x in deep.items() if x >= d]))
+            if found is not None:
+                level = level.withColumn("up", F.shiftright("node", FAN_BITS)).join(found.select("pair", F.col("node").alias("up")), ["pair", "up"], "left_semi")
+            found = _opened(level)
+            ends = [i for i, x in deep.items() if x == d]
+            if ends:
+                one = found.where(F.col("pair").isin(ends)).withColumn("depth", F.lit(d))
+                leaves = one if leaves is None else leaves.unionByName(one)
+        if leaves is None:
+            return self.spark.createDataFrame([], "snap_no bigint, subject string, doc_id string, change_kind string")
+        depth = F.element_at(F.create_map(*[F.lit(x) for k in deep.items() for x in k]), F.col("pair"))
+        both = _paired(self._read("rows", _ROWS, all_).select("pos", "spot", "subject", "doc_id", "hash"), last).withColumn("node", _node(depth))
+        cur = F.col("pos") == F.col("pair")
+        kind = F.when(~F.col("was"), "added").when(~F.col("is"), "removed").when(~F.col("hash0").eqNullSafe(F.col("hash1")), "changed")
+        return (
+            both.join(leaves, ["pair", "node"], "left_semi")
+            .groupBy("pair", "subject", "doc_id")
+            .agg(F.max(cur).alias("is"), F.max(~cur).alias("was"), F.max(F.when(cur, F.col("hash"))).alias("hash1"), F.max(F.when(~cur, F.col("hash"))).alias("hash0"))
+            .select(F.element_at(F.array(*[F.lit(n) for n in number]), F.col("pair") + 1).cast("bigint").alias("snap_no"), "subject", "doc_id", kind.alias("change_kind"))
+            .where("change_kind is not null")
         )
-        levels.append(level)
-    found = _opened(_paired(levels[-1], last))
-    for below in reversed(levels[:-1]):
-        wanted = _paired(below, last).withColumn("up", F.shiftright("node", FAN_BITS))
-        opened = wanted.join(found.select("pair", F.col("node").alias("up")), ["pair", "up"], "left_semi")
-        found = _opened(opened)
-    return found.withColumnRenamed("node", "bucket")
+
+
+def _paired(nodes: DataFrame, last: int) -> DataFrame:
+    """Each node once for each of the two pairs of snapshots (pair - 1, pair) it takes part in."""
+    return nodes.withColumn("pair", F.explode(F.array("pos", F.col("pos") + 1))).where(F.col("pair").between(1, last))
 
 
 def _opened(children: DataFrame) -> DataFrame:
@@ -112,30 +191,8 @@ def snapshot_changes(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     table, or one snapshot alone, gives no rows. See latest() for repeated, late and null values.
 
     The rows of both snapshots are compared only in hash ranges whose Merkle digests differ.
-    leaf_rows: rows of a snapshot in one range; more ranges follow more rows.
+    leaf_rows: rows of a snapshot in one range; more ranges follow more rows. See Snapshots, which keeps the trees.
     """
-    sizes = snapshot_sizes(docs)
-    numbers = sorted(sizes)
-    last = len(numbers) - 1
-    bits = max(1, math.ceil(math.log2(max(2, max(sizes.values(), default=0) / leaf_rows))))  # grows with the rows, so leaves stay small
-    key = F.xxhash64(*_exact(F.col("subject"), F.col("doc_id")))
-    rows = latest(docs).select(
-        position(numbers, F.col("snap_no")).alias("pos"), F.shiftrightunsigned(key, 64 - bits).alias("bucket"), "subject", "doc_id", "hash",
-        *[F.xxhash64(F.lit(seed), *_exact(F.col("subject"), F.col("doc_id"), F.col("hash"))).alias(f"digest_{x}") for seed, x in ((11, "a"), (12, "b"))],
-    )
-    ranges = differing_ranges(rows, bits, last)
-    both = rows.select("pos", "bucket", "subject", "doc_id", "hash", F.explode(F.array("pos", F.col("pos") + 1)).alias("pair")).where(F.col("pair").between(1, last))
-    cur = F.col("pos") == F.col("pair")
-    kind = (
-        F.when(~F.col("was"), "added")
-        .when(~F.col("is"), "removed")
-        .when(~F.col("hash0").eqNullSafe(F.col("hash1")), "changed")
-    )
-    number = F.element_at(F.array(*[F.lit(n) for n in numbers or [0]]), F.col("pair") + 1)
-    return (
-        both.join(ranges, ["pair", "bucket"], "left_semi")
-        .groupBy("pair", "subject", "doc_id")
-        .agg(F.max(cur).alias("is"), F.max(~cur).alias("was"), F.max(F.when(cur, F.col("hash"))).alias("hash1"), F.max(F.when(~cur, F.col("hash"))).alias("hash0"))
-        .select(number.cast("bigint").alias("snap_no"), "subject", "doc_id", kind.alias("change_kind"))
-        .where("change_kind is not null")
-    )
+    kept = Snapshots(docs.sparkSession, new_path(docs.sparkSession, "snapshots"))
+    kept.add(docs, leaf_rows)
+    return kept.changes()

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from corpusspark.operators.snapshots import snapshot_changes
+from corpusspark.operators.snapshots import Snapshots, snapshot_changes
 from corpusspark.operators.versions import Conflict, History, IncrementalRun, run_changes
 from corpusspark.tables import put_file
 from tests.conftest import rows
@@ -70,6 +70,17 @@ def test_changes_equal_brute_force(spark, seed):
     assert found == _expected(data)
 
 
+def test_trees_are_kept_and_compared_at_the_lesser_depth(spark, tmp_path):
+    data = _random(6)
+    kept = Snapshots(spark, f"file://{tmp_path}/kept")
+    of = lambda *n: _docs(spark, [r for r in data if r[0] in n])
+    assert kept.add(of(1, 2), leaf_rows=1) == [1, 2] and kept.add(of(5), leaf_rows=100) == [5] and kept.add(of(4), leaf_rows=2) == [4]
+    assert len({m["depth"] for m in kept.manifests()}) > 1 and [m["number"] for m in kept.manifests()] == [1, 2, 4, 5]
+    assert sorted((tuple(r) for r in kept.changes().collect()), key=str) == _expected(data)
+    with pytest.raises(ValueError, match="are there"):
+        kept.add(of(2))
+
+
 def test_changes_of_one_and_no_snapshot(spark):
     assert rows(snapshot_changes(_docs(spark, [(1, "s", "a", "x", T0)]))) == []
     assert rows(snapshot_changes(_docs(spark, []))) == []
