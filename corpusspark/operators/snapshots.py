@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusspark.tables import get_file, names_in, new_path, put_file, strip, written
+from corpusspark.tables import get_file, names_in, new_path, put_file, strip
 
 #: Bits of the key's hash that one level of the tree adds.
 FAN_BITS = 4
@@ -113,7 +113,7 @@ class Snapshots:
         _spotted(made).write.partitionBy("pos").parquet(f"{folder}/rows")
         rows = self.spark.read.schema(f"{_ROWS}, pos int").parquet(f"{folder}/rows") if numbers else self.spark.createDataFrame([], f"{_ROWS}, pos int")
         level = rows.groupBy("pos", _node(depth).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("digest_a").alias("a"), F.bit_xor("digest_b").alias("b"))
-        level = written(level.select("pos", "node", _mixed(1, F.col("n"), F.col("a")).alias("digest_a"), _mixed(2, F.col("n"), F.col("b")).alias("digest_b")), "leaves")
+        level = level.select("pos", "node", _mixed(1, F.col("n"), F.col("a")).alias("digest_a"), _mixed(2, F.col("n"), F.col("b")).alias("digest_b"))
         every = level.withColumn("depth", F.lit(depth))
         for d in range(depth - 1, -1, -1):
             up = [F.bit_xor(_mixed(seed, F.col("node"), F.col(f"digest_{x}"))).alias(f"digest_{x}") for seed, x in ((1, "a"), (2, "b"))]
@@ -127,13 +127,15 @@ class Snapshots:
 
     def _read(self, kind: str, schema: str, wanted: list[tuple[int, dict]], depth: int | None = None) -> DataFrame:
         """Rows or nodes of snapshots (place, manifest), with their place as pos."""
-        found = self.spark.createDataFrame([], f"{schema}, pos int")
+        found = None
         for folder in sorted({m["folder"] for _, m in wanted}):
             own = {m["pos"]: place for place, m in wanted if m["folder"] == folder}
             one = self.spark.read.schema(f"{schema}, pos int" + (", depth int" if kind == "nodes" else "")).parquet(f"{folder}/{kind}").where(F.col("pos").isin(list(own)))
             one = one.where(F.col("depth") == depth).drop("depth") if depth is not None else one
-            found = found.unionByName(one.withColumn("pos", F.element_at(F.create_map(*[F.lit(x) for k in own.items() for x in k]), F.col("pos"))))
-        return found
+            if any(pos != place for pos, place in own.items()):
+                one = one.withColumn("pos", F.element_at(F.create_map(*[F.lit(x) for k in own.items() for x in k]), F.col("pos")))
+            found = one if found is None else found.unionByName(one)
+        return self.spark.createDataFrame([], f"{schema}, pos int") if found is None else found
 
     def changes(self) -> DataFrame:
         """(snap_no, subject, doc_id, change_kind) for every two consecutive snapshots; see snapshot_changes()."""
