@@ -122,7 +122,13 @@ def put_file(spark: SparkSession, path: str, body: str) -> bool:
     try:
         if fs.getScheme() != "file":
             return bool(fs.rename(tmp, p))
-        os.link(tmp.toUri().getPath(), p.toUri().getPath())
+        try:
+            os.link(tmp.toUri().getPath(), p.toUri().getPath())
+        except FileExistsError:
+            raise
+        except OSError:  # a mount without links
+            with open(p.toUri().getPath(), "x", encoding="utf-8") as f:
+                f.write(body)
         return True
     except FileExistsError:
         return False
