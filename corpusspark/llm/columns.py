@@ -52,3 +52,9 @@ def summed(rows: DataFrame, dtype: type, merge=np.add) -> np.ndarray:
     parts = rows.select("slice", "part").repartition(_SLICES, "slice").mapInArrow(run, "slice int, part binary").collect()
     found = {r["slice"]: unpack(bytes(r["part"]), dtype) for r in parts}
     return np.concatenate([found[i] for i in sorted(found)]) if found else np.zeros(0, dtype)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if they come in fewer parts, as from one small file; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusspark.llm.columns import sliced, summed
+from corpusspark.llm.columns import sliced, spread, summed
 from corpusspark.tables import written
 
 #: Share of the characters that makes a page a list.
@@ -135,7 +135,7 @@ def page_features(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), code.alias("lang"), "text").mapInArrow(run, _FEATURES)
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), code.alias("lang"), "text")).mapInArrow(run, _FEATURES)
 
 
 def language_models(features: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
