@@ -9,6 +9,7 @@ with common sequences in their prefix get longer prefixes of which more must mat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusspark.llm.columns import pack, sliced, summed, unpack
 from corpusspark.llm.words import words_of
-from corpusspark.tables import written
+from corpusspark.tables import let_go, written
 
 WORDS, THRESHOLD, MIN_WORDS = 3, 0.6, 20
 #: Counters of the sketch of document frequencies, and the sequences a counter holds on average at most: beyond,
@@ -40,6 +41,11 @@ GATHERED, FAN_BITS = 1_000_000, 9
 #: Texts in whose prefix one sequence may be in one unit of work; those of a commoner one are split into blocks,
 #: each pair of which is a unit.
 HOT = 20_000
+#: Rounds, a power of two, in which postings are made, matched and let go, each for its part of all items, and the ranges a
+#: round has at least.
+ROUNDS, ROUND_RANGES = 4, 8
+#: Bits of a set's signature.
+SIGN = 256
 BITS = 40
 _LOW = np.uint64((1 << BITS) - 1)
 _SETS = "kind int, id bigint, key bigint, chunk_id string, doc_id string, n int, items binary, slice int, part binary"
@@ -141,7 +147,7 @@ def _sets_and_sketch(chunks: DataFrame, words: int, min_words: int, rate: float)
     return chunks.select("chunk_id", "doc_id", "text").mapInArrow(run, _SETS)
 
 
-_POSTING = {"ids": np.int64, "keys": np.int64, "sizes": np.int32, "prefixes": np.int32, "items": np.uint64, "owners": np.uint32, "places": np.int32, "sides": np.uint8}
+_POSTING = {"ids": np.int64, "keys": np.int64, "sizes": np.int32, "prefixes": np.int32, "items": np.uint64, "owners": np.uint32, "places": np.int32, "sides": np.uint8, "signs": np.uint64}
 _PAIR = {"keys": np.int64, "firsts": np.int32, "seconds": np.int64, "needs": np.int32, "counts": np.int32}
 
 
@@ -160,21 +166,41 @@ def _stretches(r: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _pack_postings(cols: tuple, bits: int) -> list[tuple]:
-    """Packed rows of postings (h, id, key, size, prefix, place, side), one for each range of h by its first bits."""
+    """Packed rows of postings (h, id, key, size, prefix, place, side, signature), one for each range of h by its first bits."""
     order = np.argsort(cols[0], kind="stable")
-    h, ids, keys, sizes, prefixes, places, sides = (c[order] for c in cols)
+    h, ids, keys, sizes, prefixes, places, sides = (c[order] for c in cols[:-1])
+    signs = cols[-1]
     out = []
     for r, a, e in _stretches((h >> np.uint64(BITS - bits)).astype(np.int64)):
         own, first, idx = np.unique(ids[a:e], return_index=True, return_inverse=True)
         at = a + first
-        out.append((r, pack(own), pack(keys[at]), pack(sizes[at].astype(np.int32)), pack(prefixes[at].astype(np.int32)), pack(np.diff(h[a:e], prepend=np.uint64(0))), pack(idx.astype(np.uint32)), pack(places[a:e].astype(np.int32)), pack(sides[a:e].astype(np.uint8))))
+        out.append((r, pack(own), pack(keys[at]), pack(sizes[at].astype(np.int32)), pack(prefixes[at].astype(np.int32)), pack(np.diff(h[a:e], prepend=np.uint64(0))), pack(idx.astype(np.uint32)), pack(places[a:e].astype(np.int32)), pack(sides[a:e].astype(np.uint8)), pack(signs[order[at]].reshape(-1))))
     return out
 
 
 def _unpack_postings(r: dict) -> tuple:
     x = {k: unpack(r[k], kind) for k, kind in _POSTING.items()}
     of = x["owners"]
-    return np.cumsum(x["items"], dtype=np.uint64), x["ids"][of], x["keys"][of], x["sizes"][of].astype(np.int64), x["prefixes"][of].astype(np.int64), x["places"].astype(np.int64), x["sides"]
+    return np.cumsum(x["items"], dtype=np.uint64), x["ids"][of], x["keys"][of], x["sizes"][of].astype(np.int64), x["prefixes"][of].astype(np.int64), x["places"].astype(np.int64), x["sides"], x["signs"].reshape(-1, SIGN // 64)[of]
+
+
+def _signatures(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, SIGN / 64) words: bit k of a set's signature tells whether an odd number of its items fall on k.
+
+    An item that two sets share changes both signatures alike, so they differ in no more bits than the sets in items.
+    """
+    spot = (_mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(SIGN - 1)).astype(np.int64)
+    odd = np.bincount(owner * SIGN + spot, minlength=n * SIGN) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(n, SIGN // 64)
+
+
+def _near(signs: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of signs differ in at most so many bits."""
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 65_536):
+        own = slice(at, at + 65_536)
+        out[own] = np.bitwise_count(signs[i[own]] ^ signs[j[own]]).sum(axis=1, dtype=np.int64) <= most[own]
+    return out
 
 
 def _part(a: np.ndarray, bits: int) -> np.ndarray:
@@ -199,13 +225,12 @@ def _unpack_pairs(r: dict) -> tuple:
     return x["keys"][np.cumsum(x["firsts"])], x["seconds"], x["needs"], x["counts"]
 
 
-def _respread(rows: DataFrame, bits: int, kinds: dict, unpacked, packer) -> DataFrame:
-    """Packed rows told apart by the first FAN_BITS bits, told apart by `bits`: further bits in further shuffles, FAN_BITS each.
+def _respread(rows: DataFrame, at: int, bits: int, kinds: dict, unpacked, packer) -> DataFrame:
+    """Packed rows told apart by the first `at` bits, told apart by `bits`: further bits in further shuffles, FAN_BITS each.
 
     A task gathers rows before it packs them again, so rows stay some thousand entries long, and their
     number grows with the data, not with its square.
     """
-    at = FAN_BITS
     while at < bits:
         at = min(bits, at + FAN_BITS)
 
@@ -247,11 +272,15 @@ def _blocks(h: np.ndarray, keys: np.ndarray, met: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(posting), np.concatenate(item), np.concatenate(side)
 
 
-def prefix_postings(sets: DataFrame, sketch: np.ndarray, rate: float, bits: int, threshold: float) -> DataFrame:
-    """(range, ids, keys, sizes, prefixes, items, owners, places, sides): the postings of all prefixes, packed by range of items."""
+def prefix_postings(sets: DataFrame, sketch: np.ndarray, rate: float, bits: int, threshold: float, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """(range, ids, keys, sizes, prefixes, items, owners, places, sides, signs): the postings of all prefixes, packed by range of items.
+
+    Of several rounds, a power of two, each has the items of its own part of the ranges.
+    """
     level = np.minimum(255, np.round(8 * np.log2(1.0 + sketch))).astype(np.uint8)
     seen = sets.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
     load = float(sketch.mean()) if len(sketch) else 0.0
+    apart = min(bits, FAN_BITS + int(np.log2(rounds)))  # a round has 1 of so many rounds' ranges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = seen.value
@@ -268,6 +297,7 @@ def prefix_postings(sets: DataFrame, sketch: np.ndarray, rate: float, bits: int,
                 owner = np.repeat(np.arange(len(keys)), sizes)
                 code = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 8)) | (level[_spots(h)].astype(np.uint64) << np.uint64(BITS)) | h)
                 h, lev = code & _LOW, ((code >> np.uint64(BITS)) & np.uint64(255)).astype(np.int64)
+                signs = _signatures(h, owner, len(keys))
                 start = np.cumsum(sizes) - sizes
                 place = np.arange(len(h)) - start[owner]
                 shortest = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
@@ -281,28 +311,31 @@ def prefix_postings(sets: DataFrame, sketch: np.ndarray, rate: float, bits: int,
                 kept = place < prefix[owner]
                 h, lev, owner, place = h[kept], lev[kept], owner[kept], place[kept]
                 posting, h, side = _blocks(h, keys[owner], cost_of[lev] / rate)
+                own = (h * np.uint64(rounds)) >> np.uint64(BITS) == turn
+                posting, h, side = posting[own], h[own], side[own]
                 owner, place = owner[posting], place[posting]
-                held.append((h, ids[owner], keys[owner], sizes[owner].astype(np.int32), prefix[owner].astype(np.int32), place.astype(np.int32), side))
+                held.append((h, ids[owner], keys[owner], sizes[owner].astype(np.int32), prefix[owner].astype(np.int32), place.astype(np.int32), side, signs[owner]))
                 gathered += len(h)
                 if gathered >= GATHERED:
-                    yield _rows(_pack_postings(tuple(np.concatenate(c) for c in zip(*held, strict=True)), min(bits, FAN_BITS)), _POSTING)
+                    yield _rows(_pack_postings(tuple(np.concatenate(c) for c in zip(*held, strict=True)), apart), _POSTING)
                     held, gathered = [], 0
         if gathered:
-            yield _rows(_pack_postings(tuple(np.concatenate(c) for c in zip(*held, strict=True)), min(bits, FAN_BITS)), _POSTING)
+            yield _rows(_pack_postings(tuple(np.concatenate(c) for c in zip(*held, strict=True)), apart), _POSTING)
 
     first = sets.select("id", "key", "n", "items").mapInArrow(run, _schema(_POSTING))
-    return _respread(first, bits, _POSTING, _unpack_postings, _pack_postings)
+    return _respread(first, apart, bits, _POSTING, _unpack_postings, _pack_postings)
 
 
-def _match(h, key, n, p, place, side, threshold: float, flush: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, key, matches needed) of postings with equal items whose sizes and places still allow the threshold.
+def _match(h, key, n, p, place, side, of, signs, threshold: float, flush: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, key, matches needed) of postings with equal items whose sizes, places and signatures still allow the threshold.
 
-    An item's postings are in the order of their sets' sizes, so each meets those alone that are not too large for it.
+    of: the posting's row of signs. Most texts that meet by a common item are told apart by their signatures here, so
+    the pairs that are counted and verified grow with the near-duplicates and not with the square of the data. An item's postings are in the order of their sets' sizes, so each meets those alone that are not too large for it.
     """
     order = np.lexsort((key, n, h))
-    h, key, n, p, place, side = (x[order] for x in (h, key, n, p, place, side))
+    h, key, n, p, place, side, of = (x[order] for x in (h, key, n, p, place, side, of))
     fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]) if len(h) else np.zeros(0, bool)
-    h, key, n, p, place, side = (x[fresh] for x in (h, key, n, p, place, side))
+    h, key, n, p, place, side, of = (x[fresh] for x in (h, key, n, p, place, side, of))
     item = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     wide = int(n.max(initial=0)) * 2 + 2
     end = np.searchsorted(item * wide + n, item * wide + np.minimum(wide - 1, np.floor(n / threshold + 1e-9).astype(np.int64)), "right")
@@ -319,6 +352,8 @@ def _match(h, key, n, p, place, side, threshold: float, flush: int = 2_000_000)
         least = np.ceil(threshold / (1 + threshold) * (ni + nj) - 1e-9).astype(np.int64)
         fits = 1 + np.minimum(place[i], place[j]) + np.minimum(ni - place[i], nj - place[j]) - 1 >= least
         i, j, ni, nj, least = i[fits], j[fits], ni[fits], nj[fits], least[fits]
+        fits = _near(signs, of[i], of[j], ni + nj - 2 * least)
+        i, j, ni, nj, least = i[fits], j[fits], ni[fits], nj[fits], least[fits]
         need = np.maximum(1, least - np.maximum(ni - p[i], nj - p[j]))
         held.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), need.astype(np.int32)))
         size += len(i)
@@ -336,30 +371,36 @@ def _counted(a: np.ndarray, b: np.ndarray, need: np.ndarray, count: np.ndarray)
     return a[new], b[new], need[new], np.add.reduceat(count, new, dtype=np.int32) if len(a) else count
 
 
-def candidates(postings: DataFrame, bits: int, threshold: float) -> DataFrame:
-    """(a, b) of sets that share as many prefix items as they must: what all items are rarer than must hold the rest.
+def met_pairs(postings: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """(range, keys, firsts, seconds, needs, counts): pairs of sets that share an item of these postings and may be alike, packed by range of the first.
 
     Of equal sets only the one with the least number takes part: their postings are the same, so each
     range that sees one of them sees them all.
     """
 
     def pair(t: pa.Table) -> pa.Table:
-        h, own, key, n, p, place, side = (np.concatenate(c) for c in zip(*(_unpack_postings(r) for r in t.to_pylist()), strict=True))
-        _, of = np.unique(key, return_inverse=True)
+        h, own, key, n, p, place, side, signs = (np.concatenate(c) for c in zip(*(_unpack_postings(r) for r in t.to_pylist()), strict=True))
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        signs = signs[first]
         least = np.full(of.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, of, own)
         rows = []
-        for a, b, need in _match(h, least[of], n, p, place, side, threshold):
+        for a, b, need in _match(h, least[of], n, p, place, side, of, signs, threshold):
             rows += _pack_pairs(_counted(a, b, need, np.ones(len(a), np.int32)), min(bits, FAN_BITS))
         return pa.Table.from_batches([_rows(rows, _PAIR)])
 
+    return postings.groupBy("range").applyInArrow(pair, _schema(_PAIR))
+
+
+def candidates(pairs: DataFrame, bits: int) -> DataFrame:
+    """(a, b) of sets that share as many prefix items as they must, from all rounds: what all items are rarer than must hold the rest."""
+
     def count(t: pa.Table) -> pa.Table:
         a, b, need, n = _counted(*[np.concatenate(c) for c in zip(*(_unpack_pairs(r) for r in t.to_pylist()), strict=True)])
         kept = n >= need
         return pa.table([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
 
-    pairs = _respread(postings.groupBy("range").applyInArrow(pair, _schema(_PAIR)), bits, _PAIR, _unpack_pairs, _pack_pairs)
-    return pairs.groupBy("range").applyInArrow(count, "a bigint, b bigint")
+    return _respread(pairs, min(bits, FAN_BITS), bits, _PAIR, _unpack_pairs, _pack_pairs).groupBy("range").applyInArrow(count, "a bigint, b bigint")
 
 
 def _screened(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -418,8 +459,13 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD, words: int = W
     sets = kinds.where("kind = 0").select("id", "key", "chunk_id", "doc_id", "n", "items")
     sketch = summed(kinds.where("kind = 1"), np.int32)
     postings = int(sketch.sum(dtype=np.int64)) / rate * (1 - threshold)
-    bits = max(3, int(np.ceil(np.log2(max(1.0, postings / RANGE_POSTINGS)))))
-    found = written(candidates(prefix_postings(sets, sketch, rate, bits, threshold), bits, threshold), "p2-candidates")
+    bits = max(int(np.log2(ROUNDS * ROUND_RANGES)), int(np.ceil(np.log2(max(1.0, postings / RANGE_POSTINGS)))))
+    pairs = []
+    for turn in range(ROUNDS):
+        pairs.append(written(met_pairs(prefix_postings(sets, sketch, rate, bits, threshold, turn, ROUNDS), bits, threshold), "p2-pairs"))
+        let_go(chunks.sparkSession)
+    found = written(candidates(reduce(DataFrame.unionByName, pairs), bits), "p2-candidates")
+    let_go(chunks.sparkSession)
     links = written(verified(sets, found, threshold), "p2-links")
     return sets.select("key", "chunk_id", "doc_id").distinct(), links
 

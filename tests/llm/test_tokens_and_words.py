@@ -145,6 +145,28 @@ def test_packed_rows_grow_with_the_data_not_with_the_ranges(spark, monkeypatch):
     assert sizes[9][0] <= 2**9 * 4 and sizes[6][0] <= 2**6 * 4
 
 
+def test_shuffles_grow_with_texts_that_share_sequences_and_not_with_their_pairs(spark):
+    r = random.Random(11)
+    pool = [" ".join(f"s{i}w{j}" for j in range(8)) for i in range(60)]
+    data = [(f"c{i:04}", f"d{i}", " ".join(r.sample(pool, 12))) for i in range(2000)]
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    grown = []
+    for n in (500, 2000):
+        before = total()
+        near_duplicates.near_duplicate_pairs(spark.createDataFrame(data[:n], "chunk_id string, doc_id string, text string")).collect()
+        grown.append(total() - before)
+    assert grown[1] < 6 * grown[0]
+
+
+def test_rounds_part_the_postings_and_find_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(_chunks(7), "chunk_id string, doc_id string, text string")
+    found = rows(near_duplicates.near_duplicate_pairs(df))
+    made, written = [], near_duplicates.written
+    monkeypatch.setattr(near_duplicates, "written", lambda df, tag, *by: made.append(tag) or written(df, tag, *by))
+    monkeypatch.setattr(near_duplicates, "RANGE_POSTINGS", 200)
+    assert rows(near_duplicates.near_duplicate_pairs(df)) == found and made.count("p2-pairs") == near_duplicates.ROUNDS
+
+
 def test_no_near_duplicates(spark):
     df = spark.createDataFrame([("a", "d", "x")], "chunk_id string, doc_id string, text string")
     for f in (near_duplicates.near_duplicate_pairs, near_duplicates.near_duplicate_groups):
