@@ -22,11 +22,11 @@ from corpusspark.llm.words import words_of
 from corpusspark.tables import let_go, written
 
 WORDS, THRESHOLD, MIN_WORDS = 3, 0.6, 20
-#: Counters of the sketch of document frequencies, and the sequences a counter holds on average at most: beyond,
-#: a part of the texts is counted, chosen by hash. The sketch only gives the order of sequences and the
-#: cost of prefixes; its noise blurs the order among rare sequences and changes no result.
-SKETCH, LOAD = 1 << 21, 16
-#: Bytes of text that a sequence comes from, for that part: a word and what parts it from the next.
+#: Counters of the sketch of document frequencies at least and at most, and the sequences a counter should hold on average
+#: at most. All texts are counted; beyond the greatest sketch counters hold more. The sketch only gives the order of
+#: sequences and the cost of prefixes; its noise blurs the order among rare sequences and changes no result.
+SKETCH, LARGEST, LOAD = 1 << 21, 1 << 24, 16
+#: Bytes of text that a sequence comes from, for that size: a word and what parts it from the next.
 BYTES = 6
 #: Bits of the set that screens texts for verification; what it lets through by mistake is verified like the rest.
 SCREEN = 1 << 23
@@ -107,18 +107,19 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _spots(h: np.ndarray) -> np.ndarray:
-    return (_mix(h) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _spots(h: np.ndarray, counters: int) -> np.ndarray:
+    return (_mix(h) & np.uint64(counters - 1)).astype(np.int64)
 
 
-def _sets_and_sketch(chunks: DataFrame, words: int, min_words: int, rate: float) -> DataFrame:
-    """Kind 0: the set of each text, with a number and a key that equal sets share; kind 1: each task's part of the sketch, of that rate of texts.
+def _sets_and_sketch(chunks: DataFrame, words: int, min_words: int, times: float) -> DataFrame:
+    """Kind 0: the set of each text, with a number and a key that equal sets share; kind 1: each task's part of the sketch of all texts.
 
-    Numbers are those of the task and the row in it. They are short and hold once the rows are written.
+    The sketch has SKETCH counters times `times`, a power of two. Numbers are those of the task and the row in it. They are short and hold once the rows are written.
     """
+    counters = int(SKETCH * times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, waiting, held, done = np.zeros(SKETCH, np.int32), [], 0, TaskContext.get().partitionId() << 32
+        sketch, done = np.zeros(counters, np.int32), TaskContext.get().partitionId() << 32
         schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("chunk_id", pa.string()), ("doc_id", pa.string()), ("n", pa.int32()), ("items", pa.binary()), ("slice", pa.int32()), ("part", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -129,17 +130,11 @@ def _sets_and_sketch(chunks: DataFrame, words: int, min_words: int, rate: float)
                 rows, first, n = np.unique(row, return_index=True, return_counts=True)
                 with np.errstate(over="ignore"):
                     key = np.add.reduceat(_mix(items + np.uint64(0x9E3779B97F4A7C15)), first)
-                counted = items if rate >= 1 else items[np.repeat(_mix(key) < np.uint64(rate * 2.0**64), n)]
-                waiting.append(_spots(counted))
-                held += len(counted)
-                if held > SKETCH:
-                    sketch += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.int32)
-                    waiting, held = [], 0
+                np.add.at(sketch, _spots(items, counters), 1)
                 take = pa.array(rows)
                 none = lambda t: pa.nulls(len(rows), t)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), pa.array(done + np.arange(len(rows))), pa.array(key.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(n.astype(np.int32)), _binary(_bytes5(items), 5 * np.cumsum(n)), none(pa.int32()), none(pa.binary())], schema=schema)
                 done += len(rows)
-        sketch += np.bincount(np.concatenate([np.zeros(0, np.int64), *waiting]), minlength=SKETCH).astype(np.int32)
         parts = sliced(sketch)
         none = lambda t: pa.nulls(len(parts), t)
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.string()), none(pa.string()), none(pa.int32()), none(pa.binary()), pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], schema=schema)
@@ -272,19 +267,24 @@ def _blocks(h: np.ndarray, keys: np.ndarray, met: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(posting), np.concatenate(item), np.concatenate(side)
 
 
-def prefix_postings(sets: DataFrame, sketch: np.ndarray, rate: float, bits: int, threshold: float, turn: int = 0, rounds: int = 1) -> DataFrame:
+def _levels(sketch: np.ndarray) -> np.ndarray:
+    """Eight times the logarithm of how often a sequence on each counter occurs: what the counter has beyond the median one, which is chance."""
+    middle = np.partition(sketch, len(sketch) // 2)[len(sketch) // 2] if len(sketch) else 0
+    parts = np.array_split(sketch, max(1, len(sketch) >> 20))
+    return np.concatenate([np.minimum(255, np.round(8 * np.log2(1.0 + np.maximum(0, x - middle)))).astype(np.uint8) for x in parts])
+
+
+def prefix_postings(sets: DataFrame, sketch: np.ndarray, share: float, bits: int, threshold: float, turn: int = 0) -> DataFrame:
     """(range, ids, keys, sizes, prefixes, items, owners, places, sides, signs): the postings of all prefixes, packed by range of items.
 
-    Of several rounds, a power of two, each has the items of its own part of the ranges.
+    share: the part of the ranges that are made, one by a power of two; turn tells which of these parts.
     """
-    level = np.minimum(255, np.round(8 * np.log2(1.0 + sketch))).astype(np.uint8)
-    seen = sets.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
-    load = float(sketch.mean()) if len(sketch) else 0.0
+    seen, rounds = sets.sparkSession.sparkContext.broadcast(_levels(sketch)), round(1 / share)  # LARGEST bytes at most
     apart = min(bits, FAN_BITS + int(np.log2(rounds)))  # a round has 1 of so many rounds' ranges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = seen.value
-        cost_of = np.maximum(0.0, 2.0 ** (np.arange(256) / 8) - 2 - load)
+        cost_of = np.maximum(0.0, 2.0 ** (np.arange(256) / 8) - 2)
         held, gathered = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 16_000):
@@ -295,7 +295,7 @@ def prefix_postings(sets: DataFrame, sketch: np.ndarray, rate: float, bits: int,
                 items = part.column(3).take(pa.array(pick))
                 h = _from5(np.frombuffer(b"".join(items.to_pylist()), np.uint8))
                 owner = np.repeat(np.arange(len(keys)), sizes)
-                code = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 8)) | (level[_spots(h)].astype(np.uint64) << np.uint64(BITS)) | h)
+                code = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 8)) | (level[_spots(h, len(level))].astype(np.uint64) << np.uint64(BITS)) | h)
                 h, lev = code & _LOW, ((code >> np.uint64(BITS)) & np.uint64(255)).astype(np.int64)
                 signs = _signatures(h, owner, len(keys))
                 start = np.cumsum(sizes) - sizes
@@ -310,7 +310,7 @@ def prefix_postings(sets: DataFrame, sketch: np.ndarray, rate: float, bits: int,
                 prefix = np.minimum(sizes, shortest + best - 1)
                 kept = place < prefix[owner]
                 h, lev, owner, place = h[kept], lev[kept], owner[kept], place[kept]
-                posting, h, side = _blocks(h, keys[owner], cost_of[lev] / rate)
+                posting, h, side = _blocks(h, keys[owner], cost_of[lev])
                 own = (h * np.uint64(rounds)) >> np.uint64(BITS) == turn
                 posting, h, side = posting[own], h[own], side[own]
                 owner, place = owner[posting], place[posting]
@@ -454,15 +454,15 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD, words: int = W
     are compared with others once, however many they are. Keys have 64 bits, items 40.
     """
     size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rate = min(1.0, LOAD * SKETCH * BYTES / max(1, size))
-    kinds = written(_sets_and_sketch(chunks, words, min_words, rate), "p2-sets", ["kind"])
+    times = 2.0 ** np.ceil(np.log2(np.clip(size / BYTES / LOAD / SKETCH, 1, LARGEST / SKETCH)))
+    kinds = written(_sets_and_sketch(chunks, words, min_words, times), "p2-sets", ["kind"])
     sets = kinds.where("kind = 0").select("id", "key", "chunk_id", "doc_id", "n", "items")
     sketch = summed(kinds.where("kind = 1"), np.int32)
-    postings = int(sketch.sum(dtype=np.int64)) / rate * (1 - threshold)
+    postings = int(sketch.sum(dtype=np.int64)) * (1 - threshold)
     bits = max(int(np.log2(ROUNDS * ROUND_RANGES)), int(np.ceil(np.log2(max(1.0, postings / RANGE_POSTINGS)))))
     pairs = []
     for turn in range(ROUNDS):
-        pairs.append(written(met_pairs(prefix_postings(sets, sketch, rate, bits, threshold, turn, ROUNDS), bits, threshold), "p2-pairs"))
+        pairs.append(written(met_pairs(prefix_postings(sets, sketch, 1 / ROUNDS, bits, threshold, turn), bits, threshold), "p2-pairs"))
         let_go(chunks.sparkSession)
     found = written(candidates(reduce(DataFrame.unionByName, pairs), bits), "p2-candidates")
     let_go(chunks.sparkSession)

@@ -158,6 +158,22 @@ def test_shuffles_grow_with_texts_that_share_sequences_and_not_with_their_pairs(
     assert grown[1] < 6 * grown[0]
 
 
+def test_the_sketch_counts_all_texts(spark, monkeypatch):
+    df = spark.createDataFrame(_chunks(8), "chunk_id string, doc_id string, text string")
+    counted, summed = [], near_duplicates.summed
+    monkeypatch.setattr(near_duplicates, "summed", lambda *x: counted.append(summed(*x)) or counted[-1])
+    monkeypatch.setattr(near_duplicates, "LOAD", 1e-3)
+    near_duplicates.similar_sets(df)
+    shared = sum(len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) for _, _, t in _chunks(8) if t and len(w := words_of(t)) >= 20)
+    assert counted[0].sum() == shared and len(counted[0]) > near_duplicates.SKETCH
+
+
+def test_levels_tell_common_sequences_from_chance():
+    sketch = np.random.default_rng(5).poisson(400, 1 << 16)
+    sketch[:64] += 300
+    assert near_duplicates._levels(sketch)[:64].min() > near_duplicates._levels(sketch)[64:].max() and len(near_duplicates._levels(sketch[:0])) == 0
+
+
 def test_rounds_part_the_postings_and_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame(_chunks(7), "chunk_id string, doc_id string, text string")
     found = rows(near_duplicates.near_duplicate_pairs(df))
