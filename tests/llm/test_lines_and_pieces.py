@@ -65,6 +65,28 @@ def test_sequences_grow(spark):
     assert clean["p"] == "" and clean["c2"] == "own words xx here\n\nno"
 
 
+def test_sequences_of_every_length_equal_brute_force(spark):
+    r = random.Random(6)
+    pool = [[f"line {chr(97 + i)}{chr(97 + j)} of it" for j in range(n)] for i, n in enumerate((1, 3, 5, 6, 7, 11))]
+    data = []
+    for i in range(60):
+        own = [x for _ in range(r.randrange(1, 4)) for x in r.choice(pool)[r.choice([0, 0, 1]) :]]
+        data.append((f"c{i}", r.choice([None, f"d{i % 25}"]), r.choice(["s", "t", None]), "\n\n".join(own)))
+    docs, places = defaultdict(set), defaultdict(set)
+    for c, d, s, t in data:
+        at = [(k, x) for k, x in enumerate(t.split("\n")) if _key(x)]
+        for i in range(len(at)):
+            for j in range(i, len(at)):
+                q = s, tuple(_key(x) for _, x in at[i : j + 1])
+                docs[q] |= {d} - {None}
+                places[q].add((j - i + 1, c, at[i][0], at[j][0]))
+    want = sorted((n, len(docs[q]), c, a, b) for q, own in places.items() if len(docs[q]) >= 3 for n, c, a, b in own)
+    found = repeated_lines.frequent_sequences(_frame(spark, data + data[:9]), 3, every=True)
+    assert sorted((x.length, x.n_docs, x.chunk_id, x.first_line, x.last_line) for x in found.collect()) == want
+    assert {n for n, *_ in want} >= {1, 2, 3, 4, 5, 6, 7, 11}
+    assert found.select("length", "k1", "k2").distinct().count() == sum(len(x) >= 3 for x in docs.values())
+
+
 def test_a_long_notice_takes_few_levels(spark, monkeypatch):
     notice = "\n\n".join(f"line {chr(97 + i // 26)}{chr(97 + i % 26)} of the notice" for i in range(500))
     data = [(f"c{i}", f"d{i}", "s", f"own words {'x' * i} here\n{notice}\nmore own words {'y' * i}") for i in range(6)]
